@@ -8,6 +8,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .shared import table
 from .substring_dedup import remove_repeats
 
@@ -19,6 +20,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(names, 256).alias("items_sha256"), (F.size("item_ids") >= 2).alias("contaminated"))
 
 
+def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,7 +42,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_mix, op7_lines, op8_exact, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_near, op5_mix, op7_lines, op8_exact, op10_substrings)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
