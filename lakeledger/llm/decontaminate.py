@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import with_columns_of
+from .shared import Shared, maybe_broadcast, stored, with_columns_of
 from .textops import ALNUM, cover, hash_words, int_column, mix, slices, split_words, windows, _MULT
 
 OUT = ("doc_id long, text_key binary, n_words long, n_hit long, item_ids array<long>, "
@@ -180,6 +180,36 @@ def _scanner(shared, with_key):
     return scan
 
 
+def _cut(batches):
+    """Texts without the hit word ranges of ``spans``; what stood around a range is joined by one space."""
+    for batch in batches:
+        texts = []
+        spans = batch.column("spans").to_pylist()
+        raw = batch.column("text").to_pylist()
+        for text, own in zip(raw, spans):
+            if text and own:
+                buf = np.frombuffer(text.encode(), np.uint8)
+                starts, ends, _ = split_words(buf, np.array([0, len(buf)]), ALNUM)
+                kept, at = [], 0
+                for s in own:
+                    kept.append(buf[at:starts[s["start"]]].tobytes().decode().rstrip(" "))
+                    at = ends[s["end"] - 1]
+                kept.append(buf[at:].tobytes().decode().lstrip(" "))
+                text = " ".join(x for x in kept if x)
+            texts.append(text)
+        at = batch.schema.get_field_index("text")
+        yield pa.record_batch([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, **options) -> DataFrame:
+    """``docs`` without the documents that hold windows of ``least_items`` items or more; the hit words of the others are cut out."""
+    hits = decontaminate(docs, benchmark, **options).where("n_hit > 0").groupBy("doc_id").agg(
+        F.max(F.size("item_ids")).alias("_items"), F.first("spans").alias("spans")).withColumnRenamed("doc_id", "_id")
+    hits = maybe_broadcast(stored(hits, "leaks"), 1024)
+    joined = docs.join(hits, docs["doc_id"] == hits["_id"], "left").where(F.coalesce(F.col("_items"), F.lit(0)) < least_items)
+    return joined.select(*docs.columns, "spans").mapInArrow(_cut, docs.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, gram: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, item_ids (ascending), spans (hit word ranges, end exclusive)."""
     spark = docs.sparkSession
@@ -190,7 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, gram: int =
     parts = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], k, gram))
+        index = Shared(spark, ItemIndex([r[0] for r in rows], [r[1] for r in rows], k, gram))
         parts.append(docs.mapInArrow(_scanner(index, blocks > 1), OUT))
     if blocks == 1:
         return parts[0].drop("text_key")

@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import new_path, stored, with_columns_of
 
@@ -54,7 +55,7 @@ def _keys(min_len):
     return run
 
 
-def _drop(min_len):
+def _drop(min_len, columns):
     def run(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
@@ -68,8 +69,8 @@ def _drop(min_len):
                 n_dropped.append(len(lines) - len(kept))
                 texts.append((b"\n".join(kept)) if kept is not lines else text)
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                names=["doc_id", "kept_text", "n_lines", "n_dropped"])
+                [*(batch.column(c) for c in columns), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
+                names=[*columns, "kept_text", "n_lines", "n_dropped"])
     return run
 
 
@@ -121,8 +122,10 @@ class LineRuns:
 
 def _apply(docs: DataFrame, drops: DataFrame, min_len: int) -> DataFrame:
     sets = drops.groupBy("doc_id").agg(F.collect_set("key").alias("drop")).withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
-    joined = docs.join(sets, docs["doc_id"].eqNullSafe(sets["_id"]), "left").select("doc_id", "text", "drop")
-    return joined.mapInArrow(_drop(min_len), "doc_id long, kept_text string, n_lines long, n_dropped long")
+    others = [c for c in docs.columns if c != "text"]
+    joined = docs.join(sets, docs["doc_id"].eqNullSafe(sets["_id"]), "left").select(*others, "text", "drop")
+    schema = StructType([docs.schema[c] for c in others]).add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
+    return joined.mapInArrow(_drop(min_len, others), schema)
 
 
 def dedup_batch(runs: LineRuns, docs: DataFrame, min_len: int = 40) -> DataFrame:
@@ -135,12 +138,12 @@ def dedup_batch(runs: LineRuns, docs: DataFrame, min_len: int = 40) -> DataFrame
     return _apply(docs, drops, min_len)
 
 
-def dedup_lines(docs: DataFrame, min_len: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """One row per document: doc_id, kept_text, n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, min_len: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, carry: dict | None = None) -> DataFrame:
+    """One row per document: doc_id, the columns of ``carry`` ({name: type}), kept_text, n_lines, n_dropped.
 
     Keys found in at least ``min_docs`` documents lose all their lines except in the largest doc_id holding them.
     """
-    docs = with_columns_of(docs, {"doc_id": "long", "text": "string"})
+    docs = with_columns_of(docs, {"doc_id": "long", "text": "string", **(carry or {})})
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     lines = stored(line_keys(docs, min_len).withColumn("batch", batch), "line-keys", ["batch"])
     runs = LineRuns(docs.sparkSession, fanout)

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_groups
+from .html_extract import op6_html
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .pii import op9_pii
 from .shared import table
 from .substring_dedup import remove_repeats
+from .toxicity import op1_toxicity
+from .url_templates import op3_urls
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +46,8 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_near, op5_mix, op7_lines, op8_exact, op10_substrings)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_decontaminate, op3_urls, op4_near, op5_mix, op6_html, op7_lines, op8_exact, op9_pii, op10_substrings)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

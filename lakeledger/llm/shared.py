@@ -1,9 +1,11 @@
 """Working folders, size checks and small DataFrame helpers."""
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,20 @@ def partitions_for(df: DataFrame, total_bytes: int, each: int = 32 << 20) -> int
 def with_columns_of(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Only the wanted columns, cast to the wanted types, so extra or clashing names never matter."""
     return df.select(*[F.col(f"`{k}`").cast(t).alias(k) for k, t in wanted.items()])
+
+
+class Shared:
+    """A broadcast object whose classes travel by value; ``value`` is loaded once a task."""
+
+    def __init__(self, spark: SparkSession, thing):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._sent.value)
+        return self._value
