@@ -211,7 +211,7 @@ def test_pii_spans(spark):
     by = {r.doc_id: r for r in got}
     assert len(got) == 5 and (by[1].n_email, by[1].n_ip, by[1].n_card, by[1].n_phone) == (2, 2, 1, 1)
     assert by[2].spans == by[3].spans == by[None].spans == "" and by[2].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert set(",".join(f"{k}:{a}:{b}" for k, a, b in [("email", 2, 8)]).split(",")) <= set(by[1].spans.split(","))
+    assert set(",".join(f"{k}:{a}:{b}" for k, a, b in [("email", 2, 10)]).split(",")) <= set(by[1].spans.split(","))
 
 
 def test_pii_base_against_plain_patterns():
