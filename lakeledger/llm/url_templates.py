@@ -10,9 +10,15 @@ by the template tree of their host:
 * a node's remaining children whose tails are distributed like the node's whole
   (Jensen-Shannon divergence below ``divergence``) and whose labels do not
   contradict it are merged into one branch; labelled and unlabelled branches
-  never merge, so a label never spreads to a branch without evidence;
-* a template is rejected when its smoothed share of bad labels,
-  (bad + alpha * prior) / (labels + alpha), reaches ``purity``.
+  never merge, so that each keeps its own count;
+* a node with labels has the rate (bad + alpha * rate above) / (urls + alpha):
+  its urls without a label count as not bad, so the rate is high only where
+  labels cover most of the node.  The rate above a host's root is the share of
+  bad among all labels.  A branch without labels takes the rate of the nearest
+  node with labels above it, if its tails are distributed like that node's;
+* a template's share is (bad + alpha * rate above) / (labels + alpha), or without
+  labels the rate it takes; it is rejected when labels of its host reach it and
+  its share reaches ``purity``.
 
 Labels are the verdicts of the rules and, as bad, hosts with a name part (between
 dots and dashes) among ``seed_words``.  Children are compared with their node's whole, never in pairs.
@@ -65,11 +71,18 @@ def shapes(path, depth):
     return F.array(*[F.get(parts, F.lit(i)) for i in range(1, depth + 1)], tail)
 
 
-def template_tree(urls: DataFrame, depth: int = 6, max_children: int = 20, divergence: float = 0.1) -> DataFrame:
-    """(host, raw, template, n, bad, good) for ``urls`` (host, segs, bad, good): each raw shape's template."""
+def template_tree(urls: DataFrame, depth: int = 6, max_children: int = 20, divergence: float = 0.1, alpha: float = 2.0) -> DataFrame:
+    """(host, raw, template, n, bad, good, above, reached) for ``urls`` (host, segs, bad, good): each raw shape's template.
+
+    ``above`` is the rate of the nearest node with labels, and ``reached`` whether
+    that is one of the host's; both are the same for all rows of a template.
+    """
     tree = urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     tree = tree.select("host", "segs", F.col("segs").alias("raw"), F.lit("").alias("prefix"), "n", "bad", "good")
     tree = stored(tree, "url-tree")
+    prior = tree.agg((F.sum("bad") / F.greatest(F.sum("bad") + F.sum("good"), F.lit(1))).alias("prior")).first()[0]
+    prior = F.lit(float(prior or 0.0))
+    tree = tree.withColumn("above", prior).withColumn("reached", F.lit(False))
     for level in range(depth + 1):
         seg = F.coalesce(F.col("segs")[level], F.lit("{end}"))
         here = tree.withColumn("seg", seg).withColumn(
@@ -95,11 +108,19 @@ def template_tree(urls: DataFrame, depth: int = 6, max_children: int = 20, diver
         alike = (F.col("js") < divergence) & (F.col("k") > 1) & (F.col("seg") != "{end}")
         new = F.when(rare, F.when(labelled, F.lit("{*l}")).otherwise(F.lit("{*}"))).when(
             alike & labelled & (z < 2), F.lit("{~l}")).when(alike & ~labelled, F.lit("{~}")).otherwise(F.col("seg"))
-        names = kids.join(js, ["host", "prefix", "seg"]).select("host", "prefix", "seg", new.alias("new"))
+        # a rare branch without labels that isn't like its node may not share a wildcard with those that are
+        new = F.when(rare & ~labelled & alike, F.lit("{*~}")).otherwise(new)
+        evident = (total > 0) & (F.col("seg") != "{end}")
+        spreads = labelled | alike
+        names = kids.join(js, ["host", "prefix", "seg"]).select(
+            "host", "prefix", "seg", new.alias("new"), evident.alias("evident"), spreads.alias("spreads"), "pn", "pbad")
+        rate = (F.col("pbad") + alpha * F.col("above")) / (F.col("pn") + alpha)
         tree = stored(here.join(names, ["host", "prefix", "seg"]).select(
             "host", "segs", "raw", F.when(F.col("seg") == "{end}", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.col("new"))).alias("prefix"),
-            "n", "bad", "good"), "url-tree")
-    return tree.select("host", "raw", F.col("prefix").alias("template"), "n", "bad", "good")
+            "n", "bad", "good",
+            F.when(~F.col("evident"), F.col("above")).when(F.col("spreads"), rate).otherwise(prior).alias("above"),
+            F.when(~F.col("evident"), F.col("reached")).otherwise(F.col("spreads")).alias("reached")), "url-tree")
+    return tree.select("host", "raw", F.col("prefix").alias("template"), "n", "bad", "good", "above", "reached")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, depth: int = 6, max_children: int = 20, divergence: float = 0.1,
@@ -113,16 +134,15 @@ def filter_urls(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, depth: int
     urls = urls.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("segs", shapes(F.col("path"), depth))
     marked = urls.select("host", "segs", F.coalesce((F.col("ruled") == "block") | (F.col("ruled").isNull() & seeded), F.lit(False)).cast("long").alias("bad"),
                          F.coalesce(F.col("ruled") == "allow", F.lit(False)).cast("long").alias("good"))
-    tree = template_tree(marked, depth, max_children, divergence)
-    prior = tree.agg((F.sum("bad") / F.greatest(F.sum("bad") + F.sum("good"), F.lit(1))).alias("prior"))
-    prior = float(prior.first()[0] or 0.0)
-    share = (F.sum("bad") + alpha * prior) / (F.sum("bad") + F.sum("good") + alpha)
-    judged = tree.groupBy("host", "template").agg(share.alias("bad_share"), F.sum(F.col("bad") + F.col("good")).alias("labels"))
+    tree = template_tree(marked, depth, max_children, divergence, alpha)
+    share = (F.sum("bad") + alpha * F.first("above")) / (F.sum("bad") + F.sum("good") + alpha)
+    evident = F.first("reached") | (F.sum(F.col("bad") + F.col("good")) > 0)
+    judged = tree.groupBy("host", "template").agg(share.alias("bad_share"), evident.alias("evident"))
     known = stored(tree.join(judged, ["host", "template"]).select(
-        F.col("host").alias("_h"), F.col("raw").alias("_s"), "template", "bad_share", "labels"), "url-judged")
+        F.col("host").alias("_h"), F.col("raw").alias("_s"), "template", "bad_share", "evident"), "url-judged")
     known = maybe_broadcast(known, 400)
     out = urls.join(known, (F.col("host") == F.col("_h")) & (F.col("segs") == F.col("_s")), "left")
-    own = F.when((F.col("labels") > 0) & (F.col("bad_share") >= purity), F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when(F.col("evident") & (F.col("bad_share") >= purity), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "bad_share")
 
 
