@@ -73,7 +73,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_AT = re.compile(r"\s*(?:\[at\]|\(at\)|\{at\})\s*|(?<=[A-Za-z0-9._%+-])\s+at\s+", re.I)
+_ANY_AT = re.compile(r"[\[({]at[\])}]|\sat\s", re.I)  # in every text that _AT matches
+_AT = re.compile(r"(?<!\s)\s*(?:\[at\]|\(at\)|\{at\})\s*|(?<=[A-Za-z0-9._%+-])\s+at\s+", re.I)
 _SPELT = re.compile(r"[A-Za-z0-9-]{1,63}(?:\s*(?:\[dot\]|\(dot\)|\{dot\}|\sdot\s|\.)\s*[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z+.-])00[1-9][0-9]{9,12}(?![0-9A-Za-z])")
 _SHORT_CARD = re.compile(r"(?<![0-9.-])[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{3,5}(?![0-9]|[ .-][0-9])")
@@ -86,7 +87,7 @@ _CUES = {0: re.compile(r"\b(?:e-?mail|mail|contact|write|reach|correo|courriel)\
 def candidates(text: str, taken) -> list[tuple]:
     """(kind, start, end) of further candidates that touch no span of ``taken``."""
     found = []
-    if "dot" in text or "DOT" in text or "(at)" in text or "[at]" in text:
+    if _ANY_AT.search(text):
         for m in _AT.finditer(text):
             start = m.start()
             while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
