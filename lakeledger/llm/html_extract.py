@@ -4,10 +4,12 @@ Pages of one host are merged into a style tree whose nodes are paths of
 (tag, class).  A node's presentation importance is the entropy of the child
 sequences seen there, its content importance the entropy of its blocks' texts,
 both over the host's *distinct* pages and scaled to 0..1.  Branches where both
-are low are the same on every page and go.  Elements whose tag, role or class
-names them as menu, header, footer, sidebar, notice, advert, form or comments
+are low are the same on every page and go.  Elements whose tag, role, class or
+id names them as menu, header, footer, sidebar, notice, advert, form or comments
 have importance 0 on any page, and where a page has an article or main element
-only that is read.
+only that is read.  A class or id names its element only if all of its words do
+(``cookie-notice``, not ``with-sidebar`` or ``legal news``), and not if the page's
+article or main element lies beneath; the tree judges all others.
 
 The tree lives as rows (host, path, counts), so a host with a third of all
 pages is aggregated like any other key.  Low branches are few; they are
@@ -31,9 +33,11 @@ from .shared import maybe_broadcast, stored, table, with_columns_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_RAW = frozenset("script style noscript template svg iframe object canvas textarea title math".split())
+_RAW = frozenset("script style template svg iframe textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
+                    "annotation maction math menclose mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext "
+                    "munder munderover semantics".split())
 _NOISE = frozenset("nav footer header aside form menu dialog head button select fieldset".split())
 _WORDS = re.compile(r"[a-z]+")
 _NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
@@ -47,8 +51,8 @@ _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer for
 
 
 def _style(tag, attrs):
-    """(class part of the path, whether the element names itself as noise)."""
-    noise = tag in _NOISE
+    """(class part of the path, whether tag or role is one of noise, whether class or id names the element as noise)."""
+    noise, named = tag in _NOISE, False
     css = ""
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
@@ -58,15 +62,16 @@ def _style(tag, attrs):
                 css = value
             if name == "role":
                 noise |= value in _ROLES
-            elif tag not in ("body", "html", "article", "main") and not _NOISE_WORDS.isdisjoint(_WORDS.findall(value)):
-                noise = True
-    return css, noise
+            elif tag not in ("body", "html", "article", "main") and (words := _WORDS.findall(value)) and _NOISE_WORDS.issuperset(words):
+                named = True
+    return css, noise, named
 
 
 def blocks(html: str):
     """([(path, inside article or main, text)] of blocks that aren't named as noise, {path: child styles}, whether an article was seen)."""
     out, shape, part = [], {}, []
-    stack = [("", "", False, False)]  # tag, path, noise, main
+    stack = [("", "", False, False, ())]  # tag, path, noise, main, elements above named as noise
+    named_at, lifted = 0, set()  # lifted: named as noise, but around the page's article or main
     seen = False
 
     def flush():
@@ -75,7 +80,7 @@ def blocks(html: str):
             part.clear()
             top = next((s for s in reversed(stack) if s[0] not in _INLINE), stack[0])
             if text and not stack[-1][2]:
-                out.append((top[1], top[3], text))
+                out.append((top[1], top[3], text, stack[-1][4]))
 
     def pop():
         if stack[-1][0] not in _INLINE:
@@ -122,15 +127,20 @@ def blocks(html: str):
         if tag == "body":
             while stack[-1][0] == "head":
                 pop()
-        css, noise = _style(tag, m.group(3))
-        _, path, above, main = stack[-1]
-        seen |= tag in ("article", "main") and not above
+        css, noise, named = _style(tag, m.group(3))
+        _, path, above, main, names = stack[-1]
+        if tag in ("article", "main") and not main:
+            lifted.update(names)
+        if named:
+            named_at += 1
+            names = (*names, named_at)
+        seen |= tag in ("article", "main") and not above and lifted.issuperset(names)
         here = path if inline else f"{path}/{tag}.{css}"
         if not inline:
             shape.setdefault(path, []).append(f"{tag}.{css}")
-        stack.append((tag, here, above or noise, main or tag in ("article", "main")))
+        stack.append((tag, here, above or noise, main or tag in ("article", "main"), names))
     flush()
-    return out, shape, seen
+    return [b[:3] for b in out if lifted.issuperset(b[3])], shape, seen
 
 
 _SCOPE = frozenset("ul ol dl table select article section div main body nav aside footer header form".split())
