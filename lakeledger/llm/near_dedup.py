@@ -9,11 +9,12 @@ all its words); near duplicates have a Jaccard similarity of at least
    ``rows`` min-hashes.  A routing key names a shard: texts as similar as the
    threshold share a shard but for one pair in 100,000.
 3. A shard of more than ``exact_below`` members is searched by a navigable
-   small-world graph over Hamming distance: every member is a query, its beam
-   doubles until its worst entry lies beyond the radius, and recall is audited
-   against exact search for the ids divisible by 100; where it is below
-   ``recall`` the starting beam doubles and the shard is searched again.
-   Smaller shards are compared exactly.  Hot keys are cut into sub-shards of at
+   small-world graph over Hamming distance: every member is a query, and one
+   whose whole beam lies within the radius is compared with all members.  Recall
+   is audited against exact search for the ids divisible by 100, as the mean of
+   the queries' own shares of their neighbours without themselves; where it is
+   below ``recall``, or no audited query has a neighbour to tell by, all queries
+   of the shard are compared with all members.  Smaller shards are compared exactly.  Hot keys are cut into sub-shards of at
    most ``shard_rows`` members, and all the key's members are broadcast to each
    sub-shard as queries.
 4. Candidates of a shard are cut to the edges of a minimum spanning forest by
@@ -199,27 +200,42 @@ class SmallWorld:
         return np.where(dist < far, node, -1), dist
 
 
+def exact_neighbours(codes, queries, which, radius, cells=1 << 21):
+    """(query index, node index, distance) of all nodes within the radius of the queries ``which``, block by block."""
+    out, rows = [np.zeros((0, 3), np.int64)], max(1, cells // max(1, len(codes)))
+    low, high = np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])
+    for at in range(0, len(which), rows):
+        own = which[at:at + rows]
+        dist = np.bitwise_count(queries[own, :1] ^ low) + np.bitwise_count(queries[own, 1:] ^ high)
+        r, c = np.nonzero(dist <= radius)
+        out.append(np.stack([own[r], c, dist[r, c].astype(np.int64)], 1))
+    return np.concatenate(out)
+
+
 def graph_neighbours(codes, queries, query_ids, radius, beam=32, recall=0.98):
-    """(query index, node index, distance) within the radius by expanding beams, and the audited recall."""
-    graph = SmallWorld(codes)
+    """(query index, node index, distance) within the radius, and its audited recall.
+
+    The first queries are the codes themselves.  A graph below ``recall``, or whose
+    audited queries have no neighbours, isn't used: then all are compared, and recall is 1.
+    """
     audit = np.flatnonzero(query_ids % 100 == 0)
-    if not len(audit):
-        audit = np.arange(0, len(queries), max(1, len(queries) // 16))
-    exact = sum(int((hamming(codes, queries[i]) <= radius).sum()) for i in audit)
-    while True:
-        todo, width, out = np.arange(len(queries)), min(beam, len(codes)), []
-        while len(todo):
-            node, dist = graph.search(queries[todo], width)
-            full = (dist[:, -1] <= radius) & (width < len(codes))
-            done = ~full
-            r, c = np.nonzero((dist <= radius) & done[:, None] & (node >= 0))
-            out.append(np.stack([todo[r], node[r, c], dist[r, c]], 1))
-            todo, width = todo[full], min(width * 2, len(codes))
-        edges = np.concatenate(out)
-        got = int(np.isin(edges[:, 0], audit).sum())
-        if exact == 0 or got >= recall * exact or beam >= len(codes):
-            return edges, (got / exact if exact else 1.0)
-        beam = min(beam * 2, len(codes))
+    if len(audit) < 16:
+        audit = np.union1d(audit, np.arange(0, len(queries), max(1, len(queries) // 16)))
+    true = exact_neighbours(codes, queries, audit, radius)
+    true = np.bincount(true[true[:, 0] != true[:, 1], 0], minlength=len(queries))
+    audit = audit[true[audit] > 0]
+    got = 0.0
+    if len(audit):
+        graph = SmallWorld(codes)
+        node, dist = graph.search(queries, min(beam, len(codes)))
+        full = dist[:, -1] <= radius
+        r, c = np.nonzero((dist <= radius) & ~full[:, None] & (node >= 0))
+        edges = np.concatenate([np.stack([r, node[r, c], dist[r, c]], 1), exact_neighbours(codes, queries, np.flatnonzero(full), radius)])
+        found = np.bincount(edges[edges[:, 0] != edges[:, 1], 0], minlength=len(queries))
+        got = float((found[audit] / true[audit]).mean())
+    if got < recall:
+        return exact_neighbours(codes, queries, np.arange(len(queries)), radius), 1.0
+    return edges, got
 
 
 def _forest(edges, n):
@@ -356,7 +372,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, b
             sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a")
         good = stored(sized.mapInArrow(_verify(threshold), "a long, b long"), "near-edges")
         if not good.limit(1).count():
-            break
+            continue  # the forest may have left out a pair that holds
         edges = good if edges is None else edges.union(good)
         comps = stored(components(edges, nodes), "near-comps")
     out = reps.select("same", "rep").join(comps, "rep")
