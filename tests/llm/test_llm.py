@@ -140,7 +140,7 @@ def test_substrings_in_small_blocks(spark, docs):
     assert spark_rows(remove_repeats(docs, block_bytes=2000, cells_per_window=1, shard_entries=100), cols) == a
 
 
-def test_near_duplicates_match_brute_force(spark):
+def test_near_duplicates_match_brute_force(spark, monkeypatch):
     r = random.Random(5)
     base = [[f"t{r.randrange(5000)}" for _ in range(r.randrange(30, 120))] for _ in range(30)]
     texts = [" ".join(b) for b in base]
@@ -166,9 +166,14 @@ def test_near_duplicates_match_brute_force(spark):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for below, cut in ((256, 50_000), (8, 50_000), (8, 20)):
-        got = {r.doc_id: r.class_id for r in near_duplicates(docs, exact_below=below, shard_rows=cut).collect()}
-        assert got == {i: find(i) for i in sets}, (below, cut)
+    for base, cut in ((64, 20_000), (8, 20)):
+        monkeypatch.setattr(nd, "BASE", base)
+        out = near_duplicates(docs, shard_rows=cut)
+        got = {r.doc_id: r.class_id for r in out.collect()}
+        assert got == {i: find(i) for i in sets}, (base, cut)
+    total, found = nd.link_recall(docs, out, block=1)
+    mine = [(i, j) for i in sets if i % 100 == 0 for j in sets if i != j and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert total == found == len(mine)
 
 
 def test_small_world_recall():
