@@ -1,12 +1,18 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-``LineRuns`` keeps runs (key, n_docs, last_doc), each a table sorted by key in
-the shared folder.  A batch of lines becomes a run of level 0; ``fanout`` runs
-of one level are merged into one of the next.  ``dedup_batch`` is the
-incremental use: a batch is merge-anti-joined with the runs, what is left
-stays, and its own keys are added.  ``dedup_lines`` is the whole-corpus use: all
-batches go into the runs first, then lines are anti-joined with the runs'
-frequent keys.
+``LineRuns`` keeps runs (key, n_docs, last_doc), each a table bucketed and sorted
+by key in the shared folder, so that joins with it neither move nor sort it.  A
+batch's keys are merge-anti-joined with the runs: those that no run has become a
+run of level 0, and those that some run has are noted in a tally.  So the runs
+are disjoint, a key that is never seen again is never looked at again, and
+``fanout`` runs of one level are compacted into one of the next.
+
+``dedup_batch`` is the incremental use: lines that an earlier batch had go.
+``dedup_lines`` is the whole-corpus use: after the last batch the keys of the
+runs and the tally that have enough documents are known, and all documents are
+read once more to drop them.  The frequent keys are broadcast if their counted
+size fits ``broadcast_bytes``; else the lines are joined with them and each
+document with its own drops.
 
 A key is the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A-Z
 lower-cased, by 128 bits of blake2b.
@@ -18,6 +24,7 @@ largest; keys whose documents all lack an id lose nothing.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import new_path, stored, with_columns_of
+from .shared import Shared, new_path, stored, with_columns_of
 
 _STRIP = b" \t\n\x0b\x0c\r"
-_KEYED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
+_KEYED = "doc_id long, row struct<id:long,lacks:boolean,text:long>, key binary"
 
 
 def line_key(line: bytes, min_len: int):
@@ -46,12 +53,13 @@ def _texts(batch):
 def _keys(min_len):
     def run(batches):
         for batch in batches:
-            ids, keys = [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
+            at, keys = [], []
+            for i, text in enumerate(_texts(batch)):
                 own = {line_key(x, min_len) for x in text.split(b"\n")} - {None}
-                ids += [i] * len(own)
+                at += [i] * len(own)
                 keys += own
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], schema=_KEYED)
+            at = pa.array(at, pa.int64())
+            yield pa.record_batch([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(keys, pa.binary())], names=["doc_id", "row", "key"])
     return run
 
 
@@ -74,57 +82,104 @@ def _drop(min_len, columns):
     return run
 
 
+def _row():
+    """A row by its id and its text's hash; rows alike in both lose the same lines."""
+    return F.struct(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.col("doc_id").isNull().alias("lacks"), F.xxhash64("text").alias("text"))
+
+
 def line_keys(docs: DataFrame, min_len: int = 40) -> DataFrame:
-    """(doc_id, key): the distinct keys of each row's lines of at least ``min_len`` code points."""
-    return with_columns_of(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_keys(min_len), "doc_id long, key binary")
+    """(doc_id, row, key): the distinct keys of each row's lines of at least ``min_len`` code points."""
+    rows = with_columns_of(docs, {"doc_id": "long", "text": "string"}).withColumn("row", _row())
+    return rows.mapInArrow(_keys(min_len), _KEYED)
 
 
 class LineRuns:
-    """Levelled sorted runs; immutable tables, so a lost task rereads its input."""
+    """Levelled, disjoint sorted runs and the tally of keys seen again; immutable tables, so a lost task rereads its input."""
 
     SCHEMA = "key binary, n_docs long, last_doc long"
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.runs = spark, fanout, []
-
-    def _read(self, paths) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths)
+        self.spark, self.fanout, self.runs, self.tally = spark, fanout, [], []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = new_path(self.spark, f"line-run-{level}")
-        rows.sortWithinPartitions("key").write.parquet(path)
-        self.runs.append((level, path))
-
-    def add(self, lines: DataFrame) -> None:
-        """A batch's (doc_id, key) rows become a run; full levels are compacted."""
-        self._write(lines.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
+        name = "run_" + path.rsplit("-", 1)[1]
+        rows.repartition(self.buckets, "key").write.format("parquet").option("path", path).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+        self.runs.append((level, name))
+
+    def add(self, lines: DataFrame) -> DataFrame:
+        """A batch's keys go into the runs; (key, n_docs, last_doc) of those that the runs had already."""
+        own = stored(lines.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "line-batch")
+        fresh = self.unseen(own)
+        if not self.runs:
+            self._write(fresh, 0)
+            return own.limit(0)
+        self._write(fresh, 0)
+        again = stored(own.join(self.spark.table(self.runs[-1][1]).select("key").hint("merge"), "key", "left_anti"), "line-again")
+        self.tally.append(again)
         level = 0
-        while len(full := [p for l, p in self.runs if l == level]) >= self.fanout:
-            self.runs = [x for x in self.runs if x[0] != level]
-            self._write(self._merged(full), level + 1)
+        while len(full := [r for r in self.runs if r[0] == level]) >= self.fanout:
+            self.runs = [r for r in self.runs if r[0] != level]
+            self._write(reduce(DataFrame.union, [self.spark.table(n) for _, n in full]), level + 1)
+            self._forget(full)
             level += 1
+        return again
 
-    def _merged(self, paths) -> DataFrame:
-        return self._read(paths).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key no run has: a merge-anti-join with each run in turn, newest first."""
+        for _, name in reversed(self.runs):
+            rows = rows.join(self.spark.table(name).select("key").hint("merge"), "key", "left_anti")
+        return rows
 
-    def merged(self) -> DataFrame:
-        """All runs as one: one row per key."""
+    def totals(self) -> DataFrame:
+        """(key, n_docs, last_doc) of every key over all batches."""
         if not self.runs:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self._merged([p for _, p in self.runs])
+        every = reduce(DataFrame.union, [self.spark.table(n) for _, n in self.runs])
+        if not self.tally:
+            return every
+        again = reduce(DataFrame.union, self.tally).groupBy("key").agg(F.sum("n_docs").alias("n"), F.max("last_doc").alias("last"))
+        return every.join(again, "key", "left").select(
+            "key", (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows whose key no run has: an anti-join with each run in turn, newest first."""
-        for _, path in reversed(self.runs):
-            lines = lines.join(self._read([path]).select("key").hint("merge"), "key", "left_anti")
-        return lines
+    def _forget(self, runs) -> None:
+        for _, name in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # the name only; the files stay for what still reads them
 
+    def close(self) -> None:
+        self._forget(self.runs)
 
-def _apply(docs: DataFrame, drops: DataFrame, min_len: int) -> DataFrame:
-    sets = drops.groupBy("doc_id").agg(F.collect_set("key").alias("drop")).withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
+
+def _drop_known(shared, min_len, columns):
+    """Lines whose key another document keeps, by a broadcast of the frequent keys, sorted, with the document that keeps each."""
+    def run(batches):
+        keys, last = shared.value
+        keep = dict(zip(keys, last))
+        for batch in batches:
+            texts, n_lines, n_dropped = [], [], []
+            for i, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
+                lines = text.split(b"\n")
+                kept = [x for x in lines if keep.get(line_key(x, min_len), i) == i]
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(kept))
+                texts.append(text if len(kept) == len(lines) else b"\n".join(kept))
+            yield pa.record_batch(
+                [*(batch.column(c) for c in columns), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
+                names=[*columns, "kept_text", "n_lines", "n_dropped"])
+    return run
+
+
+def _out_schema(docs: DataFrame) -> tuple[list[str], StructType]:
     others = [c for c in docs.columns if c != "text"]
-    joined = docs.join(sets, docs["doc_id"].eqNullSafe(sets["_id"]), "left").select(*others, "text", "drop")
-    schema = StructType([docs.schema[c] for c in others]).add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
+    return others, StructType([docs.schema[c] for c in others]).add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
+
+
+def _apply(docs: DataFrame, drops: DataFrame, min_len: int) -> DataFrame:
+    """``drops``: (row, key).  Rows are told apart by their text's hash as well as by id, so that null ids don't meet in one task."""
+    sets = drops.groupBy("row").agg(F.collect_set("key").alias("drop")).withColumnRenamed("row", "_row")
+    others, schema = _out_schema(docs)
+    joined = docs.withColumn("_own", _row()).join(sets, F.col("_own") == F.col("_row"), "left").select(*others, "text", "drop")
     return joined.mapInArrow(_drop(min_len, others), schema)
 
 
@@ -132,23 +187,28 @@ def dedup_batch(runs: LineRuns, docs: DataFrame, min_len: int = 40) -> DataFrame
     """Drops lines that an earlier batch had, then adds this batch's keys to the runs."""
     docs = with_columns_of(docs, {"doc_id": "long", "text": "string"})
     lines = stored(line_keys(docs, min_len), "line-keys")
-    fresh = runs.unseen(lines.select("key").distinct())
-    drops = stored(lines.join(fresh, "key", "left_anti"), "line-drops")
-    runs.add(lines)
-    return _apply(docs, drops, min_len)
+    repeated = runs.add(lines)
+    drops = stored(lines.join(repeated.select("key"), "key"), "line-drops")
+    return _apply(docs, drops.select("row", "key"), min_len)
 
 
-def dedup_lines(docs: DataFrame, min_len: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, carry: dict | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_len: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, carry: dict | None = None,
+                broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: doc_id, the columns of ``carry`` ({name: type}), kept_text, n_lines, n_dropped.
 
     Keys found in at least ``min_docs`` documents lose all their lines except in the largest doc_id holding them.
     """
     docs = with_columns_of(docs, {"doc_id": "long", "text": "string", **(carry or {})})
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    lines = stored(line_keys(docs, min_len).withColumn("batch", batch), "line-keys", ["batch"])
+    lines = stored(line_keys(docs, min_len).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")), "line-keys", ["batch"])
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("doc_id", "key"))
-    often = runs.merged().where((F.col("n_docs") >= min_docs) & F.col("last_doc").isNotNull()).select("key", "last_doc")
-    drops = lines.select("doc_id", "key").join(often, "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "key")
-    return _apply(docs, drops, min_len)
+    often = stored(runs.totals().where((F.col("n_docs") >= min_docs) & F.col("last_doc").isNotNull()).select("key", "last_doc"), "line-often")
+    runs.close()
+    if often.count() * 64 <= broadcast_bytes:
+        known = often.orderBy("key").toArrow()
+        others, schema = _out_schema(docs)
+        shared = Shared(docs.sparkSession, (known.column("key").to_pylist(), known.column("last_doc").to_pylist()))
+        return docs.select(*others, "text").mapInArrow(_drop_known(shared, min_len, others), schema)
+    drops = lines.select("doc_id", "row", "key").join(often, "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    return _apply(docs, drops.select("row", "key"), min_len)
