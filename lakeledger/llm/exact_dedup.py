@@ -9,7 +9,10 @@ exactly; all other rows pass straight through.
 
 The filter is broadcast, so its size is bounded by ``max_bits``: beyond
 ``max_bits / bits_per_row`` rows the hash space is cut into slices, each with
-a filter of its own, and the stored hashes are partitioned by slice.
+a filter of its own, which is given up once its slice is tested; the stored
+hashes are partitioned by slice.  A hash of ``hot_rows`` rows or more is joined
+by a broadcast of the hot groups (at most one in ``hot_rows`` rows), so that no
+task holds all rows of a text that a third of the corpus shares.
 
 Defined cases: null text counts as empty; a null doc_id is smaller than every
 other, so it stays only where no row of its group has an id; of repeated rows
@@ -26,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, with_columns_of
+from .shared import maybe_broadcast, stored, with_columns_of
 
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -100,9 +103,8 @@ def _test(shared, bits):
     return run
 
 
-def possibly_repeated(rows: DataFrame, n: int, bits_per_row: int) -> DataFrame:
-    """``rows`` (doc_id, h) with the column ``maybe``: false only for hashes found once."""
-    spark = rows.sparkSession
+def repeat_filter(rows: DataFrame, n: int, bits_per_row: int):
+    """(the broadcast bit table of cells set at least twice, its size as a power of two) of ``rows`` (doc_id, h)."""
     bits = max(_SEGMENT, int(np.ceil(np.log2(max(n, 1) * bits_per_row))))
     merged = rows.mapInArrow(_sketch(bits), "segment long, cells binary, twice binary").groupBy("segment").applyInArrow(
         _merge, "segment long, bits binary")
@@ -110,11 +112,18 @@ def possibly_repeated(rows: DataFrame, n: int, bits_per_row: int) -> DataFrame:
     each = (1 << _SEGMENT) // 8
     for row in merged.toLocalIterator():
         table[row[0] * each:(row[0] + 1) * each] = row[1]
-    shared = spark.sparkContext.broadcast(bytes(table))
-    return rows.mapInArrow(_test(shared, bits), "doc_id long, h binary, maybe boolean")
+    return rows.sparkSession.sparkContext.broadcast(bytes(table)), bits
 
 
-def exact_groups(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+def _grouped(maybe: DataFrame, hot_rows: int) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, h) of the rows (doc_id, h)."""
+    groups = stored(maybe.groupBy("h").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
+    hot = maybe_broadcast(groups.where(F.col("group_size") >= hot_rows), 80)
+    parts = [maybe.join(hot, "h"), maybe.join(hot.select("h"), "h", "left_anti").join(groups.where(F.col("group_size") < hot_rows), "h")]
+    return parts[0].union(parts[1].select(*parts[0].columns)).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "h")
+
+
+def exact_groups(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30, hot_rows: int = 100_000) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = with_columns_of(docs, {"doc_id": "long", "text": "string"})
     hashed = docs.mapInArrow(_digest, "doc_id long, h binary")
@@ -125,12 +134,11 @@ def exact_groups(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 3
     out = None
     for s in range(slices):
         own = rows.where(F.col("slice") == s).select("doc_id", "h")
-        tested = stored(possibly_repeated(own, -(-n // slices), bits_per_row), "exact-tested")
+        shared, bits = repeat_filter(own, -(-n // slices), bits_per_row)
+        tested = stored(own.mapInArrow(_test(shared, bits), "doc_id long, h binary, maybe boolean"), "exact-tested")
+        shared.destroy()
         alone = tested.where("not maybe").select(
             "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "h")
-        maybe = tested.where("maybe").select("doc_id", "h")
-        groups = maybe.groupBy("h").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        many = maybe.join(groups, "h").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "h")
-        part = alone.union(many)
+        part = alone.union(_grouped(tested.where("maybe").select("doc_id", "h"), hot_rows))
         out = part if out is None else out.union(part)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("h")).alias("text_sha256"))
