@@ -1,16 +1,22 @@
 """Removal of repeated word windows behind a count-min prefilter.
 
 A window is ``k`` consecutive words.  Documents are hashed into *blocks* of
-bounded size.  Pass one: each block sends the sketch cells of its windows
-(sorted, so two bytes a window) to sketch shards; a shard merges the blocks'
-sketches and sends back, for each cell of a block, one bit: estimated repeated
-or not.  The estimate never falls below the count, so nothing is lost.  Pass
+bounded size.  Pass one: each block sends the cells of its windows in each of
+the sketch's ``depth`` rows (sorted, so two bytes a cell) to sketch shards; a shard merges the blocks'
+sketches and sends back, for each cell of a block, one bit: counted more than
+once or not.  A window is estimated repeated if all its cells are: the estimate
+never falls below the count, so nothing is lost.  Pass
 two: only windows estimated repeated send an exact key (96 bits of hash) with
 the block's smallest doc_id; shards group them exactly and answer one bit: a
 smaller doc_id exists in another block.  Each key goes out once a block however
 often it occurs, so a window held by a third of all rows stays small, and no
 sketch is ever broadcast: its width follows the corpus, spread over shards.
 
+Blocks and shards grow with the square root of the corpus once it is large, so
+that a message holds 64 windows on average at any size and messages stay a small
+share of the windows; at 100 TB a block is some 200 MB of text.  Texts are
+shuffled once, to their blocks.
+
 Defined cases: null text has no words; a null doc_id is larger than all others;
 rows with one doc_id never count as smaller to each other; a text of fewer than
 ``k`` words loses nothing.
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import with_columns_of
-from .textops import NONSPACE, cover, hash_words, int_column, slices, split_words, windows
+from .textops import NONSPACE, cover, hash_words, int_column, mix, slices, split_words, windows
 
 _REPLY = "block int, kind int, shard int, bits binary"
 
@@ -65,14 +71,18 @@ class _Block:
         self.h2 = (np.concatenate(h2) if h2 else np.zeros(0, np.uint64)) if second else None
         self.row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
 
-    def cells(self, bits):
-        """Sorted distinct sketch cells, and each window's place among them."""
-        return np.unique(self.h1 >> np.uint64(64 - bits), return_inverse=True)
+    def cells(self, bits, row):
+        """Sorted distinct cells of one row of the sketch, and each window's place among them."""
+        h = self.h1 if not row else mix(self.h1 + np.uint64(row * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        return np.unique(h >> np.uint64(64 - bits), return_inverse=True)
 
-    def flagged(self, bits, replies):
-        """Windows that the merged sketch estimates repeated."""
-        cells, at = self.cells(bits)
-        return np.flatnonzero(_bits(replies, len(cells))[at])
+    def flagged(self, bits, shard_bits, depth, replies):
+        """Windows that all rows of the merged sketch estimate repeated."""
+        out = np.ones(len(self.h1), bool)
+        for row in range(depth):
+            cells, at = self.cells(bits, row)
+            out &= _bits([(s, b) for s, b in replies if s >> shard_bits == row], len(cells))[at]
+        return np.flatnonzero(out)
 
     def keys(self, some):
         """Distinct exact keys of the windows ``some`` in order, their smallest doc_id, and each window's place."""
@@ -106,12 +116,14 @@ def _by_shard(top, shard_bits):
         yield int(shard[a]), a, b
 
 
-def _sketch(k, bits, shard_bits):
+def _sketch(k, bits, shard_bits, depth):
     def run(key, table):
-        cells, at = _Block(table, k, False).cells(bits)
-        twice = np.bincount(at, minlength=len(cells)) >= 2
-        out = [(key[0].as_py(), s, _pack(cells[a:b]), np.packbits(twice[a:b]).tobytes())
-               for s, a, b in _by_shard(cells << np.uint64(64 - bits), shard_bits)]
+        own, out = _Block(table, k, False), []
+        for row in range(depth):
+            cells, at = own.cells(bits, row)
+            twice = np.bincount(at, minlength=len(cells)) >= 2
+            out += [(key[0].as_py(), row << shard_bits | s, _pack(cells[a:b]), np.packbits(twice[a:b]).tobytes())
+                    for s, a, b in _by_shard(cells << np.uint64(64 - bits), shard_bits)]
         block, shard, blob, two = zip(*out) if out else ([], [], [], [])
         return pa.table([pa.array(block, pa.int32()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary()), pa.array(two, pa.binary())],
                         names=["block", "shard", "cells", "twice"])
@@ -138,12 +150,12 @@ def _replies(blocks, sizes, mask, kind, shard):
                      pa.array([_reply(mask[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary())], names=["block", "kind", "shard", "bits"])
 
 
-def _exact(k, bits, shard_bits):
+def _exact(k, bits, shard_bits, depth):
     def run(key, docs, replies):
         out = []
         if docs.num_rows:
             block = _Block(docs, k, True)
-            h1, h2, doc, _ = block.keys(block.flagged(bits, _of(replies, 0)))
+            h1, h2, doc, _ = block.keys(block.flagged(bits, shard_bits, depth, _of(replies, 0)))
             for s, a, b in _by_shard(h1, shard_bits):
                 ids, at = np.unique(doc[a:b], return_inverse=True)
                 at = at.astype(np.uint16 if len(ids) < 65536 else np.uint32)
@@ -179,12 +191,12 @@ def _of(replies, kind):
     return [(s, b) for q, s, b in zip(replies.column("kind").to_pylist(), replies.column("shard").to_pylist(), replies.column("bits").to_pylist()) if q == kind]
 
 
-def _remove(k, bits):
+def _remove(k, bits, shard_bits, depth):
     def run(key, docs, replies):
         texts, n_words, n_removed = [], [], []
         if docs.num_rows:
             block = _Block(docs, k, True)
-            some = block.flagged(bits, _of(replies, 0))
+            some = block.flagged(bits, shard_bits, depth, _of(replies, 0))
             h1, _, least, place = block.keys(some)
             gone = np.zeros(len(block.h1), bool)
             gone[some] = _bits(_of(replies, 1), len(h1))[place] | (block.doc[block.row[some]] > least[place])
@@ -207,27 +219,31 @@ def _remove(k, bits):
     return run
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, block_bytes: int = 8 << 20, cells_per_window: int = 8, shard_entries: int = 1 << 21) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 13, block_bytes: int = 8 << 20, cells_per_window: int = 4, depth: int = 2, shard_entries: int = 1 << 21,
+                   message_windows: int = 64) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window over it also starts in a document with a smaller doc_id.
-    ``block_bytes`` bounds the text of a task, ``shard_entries`` the entries of a merge task.
+    ``block_bytes`` of text in a block task and ``shard_entries`` entries in a merge task are the
+    least; both grow until a message from a block to a shard holds ``message_windows`` windows.
     """
     docs = with_columns_of(docs, {"doc_id": "long", "text": "string"})
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
     guess = max(1, size // 5)  # windows, for the sizes only
+    even = int((message_windows * guess) ** 0.5)
+    block_bytes, shard_entries = max(block_bytes, 5 * even), max(shard_entries, even)
+    blocks = max(1, -(-size // block_bytes))
     bits = max(8, int(np.ceil(np.log2(guess * cells_per_window))))
     shard_bits = min(bits, int(np.ceil(np.log2(max(1, guess / shard_entries)))))
     parts = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("long")), F.octet_length("text")), F.lit(blocks)).cast("int")
     rows = docs.withColumn("block", home).repartition(parts, "block")
 
-    sketches = rows.groupBy("block").applyInArrow(_sketch(k, bits, shard_bits), "block int, shard int, cells binary, twice binary")
+    sketches = rows.groupBy("block").applyInArrow(_sketch(k, bits, shard_bits, depth), "block int, shard int, cells binary, twice binary")
     repeated = sketches.groupBy("shard").applyInArrow(_merge_sketches, _REPLY)
     by_block = rows.groupBy("block")
     exact = by_block.cogroup(repeated.groupBy("block")).applyInArrow(
-        _exact(k, bits, shard_bits), "block int, shard int, h1 binary, h2 binary, ids binary, at binary")
+        _exact(k, bits, shard_bits, depth), "block int, shard int, h1 binary, h2 binary, ids binary, at binary")
     smaller = exact.groupBy("shard").applyInArrow(_merge_keys, _REPLY)
     return by_block.cogroup(repeated.union(smaller).groupBy("block")).applyInArrow(
-        _remove(k, bits), "doc_id long, n_words long, n_removed long, kept_text string")
+        _remove(k, bits, shard_bits, depth), "doc_id long, n_words long, n_removed long, kept_text string")
