@@ -390,9 +390,10 @@ def _verify(threshold):
     return run
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rep, comp): the smallest id reachable over edges (a, b); alternating large and small stars, tables cut each round."""
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+def components(edges: DataFrame) -> DataFrame:
+    """(u, m): for each node of the edges (a, b) but the smallest of its component, that smallest id; alternating large and
+    small stars, tables cut each round, until the stars stay the same."""
+    e, last = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc"), None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -400,12 +401,12 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = stored(small, "cc")
-        if not new.exceptAll(e).limit(1).count() and new.count() == e.count():
-            break
-        e = new
-    lows = e.groupBy("u").agg(F.min("v").alias("m"))
-    return nodes.join(lows, nodes["rep"] == lows["u"], "left").select("rep", F.coalesce("m", "rep").alias("comp"))
+        e = stored(small, "cc")
+        # two hashes summed over all rows tell one state of the stars from another
+        now = e.agg(F.count("*"), *[F.sum(F.xxhash64("u", "v", F.lit(x)).cast("decimal(38,0)")) for x in (0, 1)]).first()
+        if now == last:
+            return e.groupBy("u").agg(F.min("v").alias("m"))
+        last = now
 
 
 class _Linker:
@@ -413,9 +414,8 @@ class _Linker:
 
     def __init__(self, docs, members, shingle, threshold, radius, task_rows):
         self.docs, self.members, self.shingle, self.threshold, self.radius, self.task_rows = docs, members, shingle, threshold, radius, task_rows
-        self.nodes = members.select("rep").distinct()
         self.comps = members.select("rep", F.col("rep").alias("comp")).distinct()
-        self.edges = self.tried = None
+        self.linked, self.tried = False, None
 
     def turn(self, rows: DataFrame, kind: str) -> None:
         """``rows``: shard, guest, query, rep, comp, n, code."""
@@ -431,8 +431,11 @@ class _Linker:
         good = self._verified(pairs)
         if not good.limit(1).count():
             return
-        self.edges = good if self.edges is None else self.edges.union(good)
-        self.comps = stored(components(self.edges, self.nodes), "near-comps")
+        side = lambda x: self.comps.select(F.col("rep").alias(x), F.col("comp").alias("c" + x))
+        between = good.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")) if self.linked else good
+        lower = components(between)
+        self.comps = stored(self.comps.join(lower, self.comps["comp"] == lower["u"], "left").select("rep", F.coalesce("m", "comp").alias("comp")), "near-comps")
+        self.linked = True
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         wanted = stored(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "near-wanted")
@@ -446,7 +449,7 @@ class _Linker:
         no, yes = F.lit(False).alias("guest"), F.lit(True).alias("query")
         self.turn(self.members.select(F.xxhash64("key", "home").alias("shard"), no, yes, "rep", F.col("rep").alias("comp"), "n", "code"), "link")
         hot = self.members.where("subs > 1").select("key", "rep", "n", "code")
-        while self.edges is not None and hot.limit(1).count():
+        while self.linked and hot.limit(1).count():
             # one leader of each component stands for it across the sub-shards of a hot key
             leaders = hot.join(self.comps, "rep").groupBy("key", "comp").agg(F.min(F.struct("rep", "n", "code")).alias("s"))
             leaders = stored(leaders.select("key", "comp", "s.*"), "near-leaders")
