@@ -1,6 +1,10 @@
+import math
+import time
+from collections import Counter
+
 import pytest
 
-from lakeledger.llm.html_extract import blocks
+from lakeledger.llm.html_extract import blocks, extract_text, host_of, judged_nodes, style_importance
 
 
 def texts(html):
@@ -17,6 +21,71 @@ def texts(html):
     ("<main><p>a</p><div class='comments'><article>c</article></div></main>", ["a"]),
     ("<nav><article>n</article></nav><p>a</p>", ["a"]),
     ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><noscript><p>n</p></noscript>", ["let x=1 be", "n"]),
+    ("<article><h1 class='entry-header'>t</h1><p class='side-note'>a</p><p id='legal'>b</p></article>", ["t", "a", "b"]),
+    ("<article><header class='header'><h1>t</h1></header><p>b", ["t", "b"]),
+    ("<header><h1>site</h1></header><article><p>b</p></article>", ["b"]),
+    ("<main><p>a</p><ol class='commentlist'><article class='comment depth-1'>c</article></ol></main>", ["a"]),
+    ("<article><p>a</p></article><article class='comment'><p>c</p></article>", ["a"]),
+    ("<body class='comments-open'><article><p>a</p><div class='has-comments'>k</div></article>", ["a", "k"]),
 ])
 def test_only_an_elements_own_name_drops_it(html, want):
     assert texts(html) == want
+
+
+def test_deep_nesting_takes_linear_time():
+    began = time.time()
+    found, _, _ = blocks("<div><p>x" * 20_000)
+    assert len(found) == 20_000 and time.time() - began < 10
+
+
+def plain_importance(pages):
+    """{(host, path, beside): (n - 1, larger entropy)} over distinct pages, page by page."""
+    distinct = {}
+    for url, html in pages:
+        found, shape, seen = blocks(html)
+        key = (host_of(url), tuple((p, m, t) for p, m, t in found), tuple(sorted((p, tuple(c)) for p, c in shape.items())))
+        distinct[key] = seen
+    texts, shapes = {}, {}
+    for (host, found, shape), seen in distinct.items():
+        for p, m, t in found:
+            texts.setdefault((host, p, seen and not m), []).append(t)
+        for p, c in shape:
+            shapes.setdefault((host, p), []).append(c)
+
+    def entropy(values):
+        n = len(values)
+        return None if n < 2 else max(0.0, -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n))
+    out = {}
+    for (host, p, beside), own in texts.items():
+        both = [x for x in (entropy(own), entropy(shapes.get((host, p), []))) if x is not None]
+        out[host, p, beside] = (len(own) - 1, max(both) if both else None)
+    return out
+
+
+def test_importance_and_decisions_against_plain_counts(spark):
+    page = lambda h, i: (f"<body><div class=top>{h} daily</div><div class=box><p>more at {h}</p></div><article><p>story {h} {i}</p><p>{'all rights' if i % 5 else f'by {i}'}</p></article>"
+                         f"<div class=after><p>{'same' if h == 'a' else f'note {i}'}</p></div></body>")
+    rows = [(f"http://{h}/{i}", page(h, i)) for h, n in (("a", 30), ("b", 12), ("c", 1)) for i in range(n)] + [("http://a/0", page("a", 0)), (None, "<p>x</p>")]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    nodes = style_importance(df)
+    want = plain_importance([(u or "", h) for u, h in rows])
+    got = {(r.host, r.path, r.beside): (r.n, r.importance) for r in nodes.collect()}
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and (got[k][1] is None) == (want[k][1] is None) and abs((got[k][1] or 0) - (want[k][1] or 0)) < 1e-9 for k in want)
+    total = {}
+    for (h, p, b), (n, imp) in want.items():
+        if n:
+            total.setdefault((p, b), []).append((n, imp))
+    judged = set()
+    for (h, p, b), (n, imp) in want.items():
+        own = total.get((p, b))
+        if own:
+            mean, drawn = sum(m * x for m, x in own) / sum(m for m, _ in own), min(4, sum(m for m, _ in own))
+            score = (8 * (0.3 if b else 0.9) + n * (imp or 0) + drawn * mean) / (8 + n + drawn)
+            if (score >= 0.5) == b:
+                judged.add((h, p, b))
+    assert {tuple(r) for r in judged_nodes(nodes).collect()} == judged and judged
+    by = {r.url: r.text for r in extract_text(df).collect()}
+    off = {r.url: r.text for r in extract_text(df, prior=1e9).collect()}
+    # the tree keeps unique notes beside the article on b, and nothing that repeats; by the markup alone they go
+    assert by["http://b/3"].endswith("note 3") and "daily" not in by["http://b/3"] and "same" not in by["http://a/3"] and "note" not in off["http://b/3"]

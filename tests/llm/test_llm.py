@@ -15,12 +15,12 @@ from lakeledger.llm import queries as Q
 from lakeledger.llm.decontaminate import decontaminate, remove_leaks
 from lakeledger.llm.exact_dedup import exact_groups
 from lakeledger.llm.html_extract import blocks, extract_text
-from lakeledger.llm.line_dedup import LineRuns, dedup_batch, dedup_lines
+from lakeledger.llm.line_dedup import LineRuns, dedup_batch, dedup_lines, line_keys
 from lakeledger.llm.mixing import mix_sources
 from lakeledger.llm.near_dedup import graph_neighbours, hamming, near_duplicates
 from lakeledger.llm.pii import base_spans, find_pii, luhn
 from lakeledger.llm.substring_dedup import remove_repeats
-from lakeledger.llm.toxicity import score_toxicity
+from lakeledger.llm.toxicity import induce, reject_toxic, score_toxicity, walk
 from lakeledger.llm.url_templates import filter_urls
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -98,21 +98,49 @@ def test_empty_tables(spark, items):
 
 def test_decontaminate_in_blocks_and_removal(spark, docs, items):
     one = spark_rows(decontaminate(docs, items), ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
-    assert spark_rows(decontaminate(docs, items, block_bytes=200), ["doc_id", "n_words", "n_hit", "item_ids", "spans"]) == one
+    assert spark_rows(decontaminate(docs, items, broadcast_bytes=0), ["doc_id", "n_words", "n_hit", "item_ids", "spans"]) == one
     assert any("item_ids=[]" not in x for x in one)
     clean = remove_leaks(docs, items, least_items=2)
     left = decontaminate(clean, items)
     assert left.where("n_hit > 0 and n_words > 60").count() <= decontaminate(docs, items).where("n_hit > 0").count()
     assert set(clean.columns) == set(docs.columns)
+    assert spark_rows(remove_leaks(docs, items, least_items=2, broadcast_bytes=0), docs.columns) == spark_rows(clean, docs.columns)
     gone = {r.doc_id for r in decontaminate(docs, items).where("size(item_ids) >= 2").collect()}
     assert gone and not gone & {r.doc_id for r in clean.select("doc_id").collect()}
 
 
+def test_rows_of_one_id_are_cleaned_each_by_its_own_text(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    rows = [(7, "a b c " + item + " d e", "x"), (7, "short", "y"), (None, item, "z"), (None, None, "n"), (8, "", "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (0, 1 << 20):
+        out = remove_leaks(d, b, broadcast_bytes=limit)
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(7, "a b c d e", "x"), (7, "short", "y"), (None, "", "z"), (None, None, "n"), (8, "", "e")]))
+        assert remove_leaks(d.limit(0), b, broadcast_bytes=limit).count() == 0 and remove_leaks(d, b.limit(0), broadcast_bytes=limit).count() == 5
+
+
 def test_exact_in_slices(spark, docs):
     cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert spark_rows(exact_groups(docs, max_bits=400), cols) == spark_rows(exact_groups(docs), cols)
 
 
+def test_lines_by_join_and_by_broadcast(spark, docs):
+    cols = ["doc_id", "n_lines", "n_dropped", "kept_text"]
+    a = spark_rows(dedup_lines(docs), cols)
+    assert spark_rows(dedup_lines(docs, broadcast_bytes=0, fanout=2), cols) == a and len(a) == docs.count()
+
+
+def test_runs_are_disjoint_and_joined_in_place(spark, docs):
+    runs = LineRuns(spark, fanout=9)
+    lines = line_keys(docs)
+    runs.add(lines)
+    plan = runs.unseen(lines.select("key"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan  # of the batch, not of the run
+    assert runs.add(lines).count() == spark.table(runs.runs[0][1]).count() and spark.table(runs.runs[1][1]).count() == 0
+    runs.close()
+
+
 def test_lines_incremental(spark, docs):
     runs = LineRuns(spark, fanout=2)
     rows = [r for r in docs.select("doc_id", "text").collect() if r.doc_id is not None]
@@ -137,7 +165,7 @@ def test_lines_incremental(spark, docs):
 def test_substrings_in_small_blocks(spark, docs):
     cols = ["doc_id", "n_words", "n_removed", "kept_text"]
     a = spark_rows(remove_repeats(docs), cols)
-    assert spark_rows(remove_repeats(docs, block_bytes=2000, cells_per_window=1, shard_entries=100), cols) == a
+    assert spark_rows(remove_repeats(docs, block_bytes=2000, cells_per_window=1, shard_entries=100, message_windows=0), cols) == a
 
 
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
@@ -251,6 +279,49 @@ def test_toxicity_held_out(spark):
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
 
 
+def test_toxicity_is_induced_beyond_the_labels(spark):
+    """Words that only unlabelled texts hold get a polarity by standing near labelled ones; without the walk they have none."""
+    r = random.Random(6)
+    common = [f"g{i}" for i in range(300)]
+    rows = []
+    for i in range(1200):
+        w = [r.choice(common) for _ in range(30)]
+        if i % 4 == 0:
+            own = ["snarl", "grubby", "vexing"] + (["hidden", "unseen"] if i >= 600 else [])
+            at = r.randrange(30)
+            w[at:at] = [r.choice(own) for _ in range(6)]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    words = ["snarl", "vexing", "hidden", "unseen", "g5", "never"]
+    with_walk = dict(zip(words, induce(docs, labels).of_words(*words)))
+    without = dict(zip(words, induce(docs, labels, restart=1.0).of_words(*words)))
+    assert min(with_walk["hidden"], with_walk["unseen"]) > 1 and without["hidden"] == without["unseen"] == with_walk["never"] == 0
+    assert with_walk["snarl"] > 1 and abs(with_walk["g5"]) < 1
+    again = induce(docs.repartition(5), labels)
+    assert (again.h == induce(docs, labels).h).all()
+
+
+def test_toxicity_walk_against_plain_iteration():
+    w = {0: {1: 0.5, 2: 0.3}, 1: {0: 1.0}, 2: {1: 0.4}}  # what is lacking to 1 leads out of the graph
+    start = {0: 0.75, 2: 0.25}
+    p = dict(start)
+    for _ in range(300):
+        moved = {x: sum(0.6 * p.get(y, 0) * w[y].get(x, 0) for y in w) for x in w}
+        p = {x: moved[x] + (1 - sum(moved.values())) * start.get(x, 0) for x in w}
+    edges = [(a, b, x) for a, e in w.items() for b, x in e.items()]
+    got = walk(3, *(np.array(c) for c in zip(*edges)), np.array([0.75, 0, 0.25]), 0.4, steps=300)
+    assert np.allclose(got, [p[0], p[1], p[2]]) and math.isclose(got.sum(), 1)
+
+
+def test_reject_toxic_keeps_columns_and_empty_tables(spark):
+    d = spark.createDataFrame([(i, "snarl " * 3 + f"w{i}" if i % 3 == 0 else f"calm day w{i}", f"x{i}") for i in range(300)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    out = reject_toxic(d, labels)
+    assert out.columns == d.columns and {r.doc_id for r in out.collect()} == {i for i in range(300) if i % 3}
+    assert reject_toxic(d.limit(0), labels).count() == 0 and reject_toxic(d, labels.limit(0)).count() == 300
+
+
 def test_url_rules_and_templates(spark):
     urls = ["http://Example.NET/en/1?q", "https://a.example.net/de/2", "http://x.net#f", "http://example.com/de/", "http://badexample.com/de/1", "http://e.org/fr/x",
             "http://e.org/en/x", None, "no scheme", "http://", "://h/p"] + [f"http://w.casino.example.com/en/{i}" for i in range(40)] + [
