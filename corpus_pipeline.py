@@ -4,10 +4,10 @@ Stages return the columns of ``documents`` (doc_id, text, lang, source,
 n_chars); the last returns the mix.  ``run`` writes every stage to the shared
 folder and reads it again, so no stage recomputes another.
 
-Defined cases: rows with a null doc_id can be rejected by their text (toxicity)
-but not by id (near duplicates, leaks), so they stay there; of repeated rows of
-one doc_id one stays after the near-duplicate stage; columns beyond those of
-``documents`` are not carried on.
+Defined cases: every row is judged by its own text, whatever its doc_id, null
+ids and repeated ids included; empty tables stay empty; columns beyond those of
+``documents`` are not carried on.  Of a group of near duplicates the row with
+the smallest doc_id stays, null last, then the one whose text hashes least.
 """
 from __future__ import annotations
 
@@ -42,10 +42,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    docs = with_columns_of(docs, COLUMNS)
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.select(*COLUMNS).union(docs.where("doc_id is null"))
+    # a key of its own for each row, fixed by being written once
+    rows = stored(with_columns_of(docs, COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "near-input")
+    classes = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    judged = stored(rows.select("_row", order.alias("order")).join(classes, "_row").groupBy("class_id").agg(F.min("order").alias("s")).select("s._row"), "near-kept")
+    return rows.join(judged, "_row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("near dedup", near_dedup),
           ("decontamination", decontamination), ("mixing", mixing)]
 
-#: the first and third stages learn and iterate, which SQL can't express; tests compare each stage with a brute-force version
+#: the first and third stages learn and iterate, which SQL can't express; tests/llm/test_pipeline.py holds each stage against brute force
 ORACLE_SQL = None
 
 
