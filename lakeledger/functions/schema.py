@@ -45,6 +45,7 @@ def common(*schemas: T.StructType) -> T.StructType:
 def arrow_to_spark(table: pa.Table) -> tuple[pa.Table, T.StructType]:
     """An Arrow table that Spark takes, and its schema; naive timestamps stay naive."""
     for i, f in enumerate(table.schema):
-        if f.type in _WIDER:
-            table = table.set_column(i, f.name, table.column(i).cast(_WIDER[f.type]))
+        kind = _WIDER.get(f.type, f.type.value_type if pa.types.is_dictionary(f.type) else None)
+        if kind is not None:
+            table = table.set_column(i, f.name, table.column(i).cast(kind))
     return table, from_arrow_schema(table.schema.remove_metadata(), prefer_timestamp_ntz=True)

@@ -12,7 +12,9 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import schema as S
 from ..plans.scan import hive_values
 from ..sources.storage import Location
 
@@ -28,10 +30,20 @@ def _plain(v):
     return v if isinstance(v, (bool, int, float, str)) else None
 
 
+def _metadata(url: str):
+    fs, path = (pafs.LocalFileSystem(), url[5:]) if url.startswith("file:") else pafs.FileSystem.from_uri(url)
+    return pq.read_metadata(path, filesystem=fs)
+
+
+def footer_schema(url: str) -> str:
+    """A Parquet file's schema as Spark's JSON."""
+    schema = _metadata(url).schema.to_arrow_schema().remove_metadata()
+    return S.arrow_to_spark(schema.empty_table())[1].json()
+
+
 def footer_stats(url: str) -> str:
     """numRecords, minValues, maxValues and nullCount of a Parquet file; a bound is missing where any row group lacks it."""
-    fs, path = (pafs.LocalFileSystem(), url[5:]) if url.startswith("file:") else pafs.FileSystem.from_uri(url)
-    md = pq.read_metadata(path, filesystem=fs)
+    md = _metadata(url)
     low, high, nulls, lacking = {}, {}, {}, set()
     for g in range(md.num_row_groups):
         group = md.row_group(g)
@@ -57,15 +69,29 @@ def footer_stats(url: str) -> str:
     return json.dumps({"numRecords": md.num_rows, "minValues": keep(low), "maxValues": keep(high), "nullCount": {k: v for k, v in nulls.items() if v is not None}})
 
 
+def _footers(spark: SparkSession, urls: list[str], read) -> DataFrame:
+    """(url, value) of ``read`` over every file's footer, on the executors."""
+    def run(parts):
+        for pdf in parts:
+            yield pd.DataFrame({"url": pdf["url"], "value": [read(u) for u in pdf["url"]]})
+    return spark.createDataFrame([(u,) for u in urls], "url string").repartition(min(len(urls), 1000)).mapInPandas(run, "url string, value string")
+
+
 def stats_of(spark: SparkSession, urls: list[str]) -> dict[str, str]:
     if len(urls) <= DRIVER_FOOTERS:
         return {u: footer_stats(u) for u in urls}
+    return {r["url"]: r["value"] for r in _footers(spark, urls, footer_stats).toLocalIterator()}
 
-    def read(parts):
-        for pdf in parts:
-            yield pd.DataFrame({"url": pdf["url"], "stats": [footer_stats(u) for u in pdf["url"]]})
-    rows = spark.createDataFrame([(u,) for u in urls], "url string").repartition(min(len(urls), 1000)).mapInPandas(read, "url string, stats string")
-    return {r["url"]: r["stats"] for r in rows.toLocalIterator()}
+
+def schema_of(spark: SparkSession, urls: list[str]) -> T.StructType:
+    """The merged schema of all the files; only distinct ones reach the driver."""
+    if len(urls) <= DRIVER_FOOTERS:
+        found = {footer_schema(u): u for u in reversed(urls)}
+        found = sorted(found, key=found.get)
+    else:
+        rows = _footers(spark, urls, footer_schema).groupBy("value").agg(F.min("url").alias("url")).orderBy("url").collect()
+        found = [r["value"] for r in rows]
+    return S.merge(*[S.parse(x) for x in found])
 
 
 def add_action(path: str, values: dict, size: int, modified: int, stats: str, data_change: bool = True) -> dict:
@@ -78,8 +104,9 @@ def write_files(df: DataFrame, root: Location, version: int, partition_by, optio
     parts = list(partition_by)
     staging = root.child(f"_staging-{uuid.uuid4().hex}")
     if parts:
-        df = df.repartition(*[F.col(f"`{c}`") for c in parts])  # one file a partition, not one a task; AQE splits large ones
-    writer = df.write.options(**(options or {}))
+        # one file a partition, not one a task; adaptive execution cuts what is larger than its advisory size
+        df = df.hint("rebalance", *[F.col(f"`{c}`") for c in parts])
+    writer = df.write.options(**root.settings, **(options or {}))
     (writer.partitionBy(*parts) if parts else writer).parquet(staging.url)
     token, moved = uuid.uuid4().hex, []
     try:

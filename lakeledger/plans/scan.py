@@ -1,7 +1,6 @@
 """A snapshot as a lazy DataFrame, shaped so that Catalyst prunes partitions and pushes filters into the Parquet scan."""
 from __future__ import annotations
 
-import json
 from functools import reduce
 from urllib.parse import unquote
 
@@ -10,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.intake import NULL_DIR
-from ..sources.storage import absolute, file_key
+from ..sources.storage import absolute, file_key, settings_for
 from .log import Snapshot
+from .prune import excluded, stats_of
 
 MAX_BRANCHES = 64
 BROADCAST_BYTES = 32 << 20
@@ -30,20 +30,10 @@ def file_url(add: dict, root: str) -> str:
 
 def skip(adds: dict, prune) -> dict:
     """The adds whose statistics don't exclude all of ``prune``: (column, operator, value) terms, all of which must hold."""
-    def may(add):
-        stats = json.loads(add["stats"]) if isinstance(add.get("stats"), str) and add["stats"] else {}
-        low, high = stats.get("minValues") or {}, stats.get("maxValues") or {}
-        for c, op, v in prune:
-            a, b = low.get(c), high.get(c)
-            if a is None or b is None or type(a) is not type(v) and not all(isinstance(x, (int, float)) for x in (a, v)):
-                continue
-            if op == "=" and (v < a or v > b) or op in (">", ">=") and (b < v or op == ">" and b == v) or op in ("<", "<=") and (a > v or op == "<" and a == v):
-                return False
-        return True
-    return {p: a for p, a in adds.items() if may(a)}
+    return {p: a for p, a in adds.items() if not any(excluded(stats_of(a), t) for t in prune)}
 
 
-def _values(add, parts):
+def partition_tuple(add, parts):
     own = add.get("partitionValues") or {}
     return tuple(None if own.get(c) in (None, "") else str(own[c]).lower() if isinstance(own[c], bool) else str(own[c]) for c in parts)
 
@@ -57,32 +47,38 @@ def scan(spark: SparkSession, snapshot: Snapshot, root: str, adds: dict | None =
     if not adds:
         empty = spark.createDataFrame([], schema)
         return empty.withColumn("_file", F.lit(None).cast("string")) if with_file else empty
+    def each(urls, schema, select, **options):
+        groups: dict[tuple, list[str]] = {}
+        for u in urls:
+            groups.setdefault(tuple(sorted(settings_for(u).items())), []).append(u)
+        return reduce(DataFrame.unionAll, [select(spark.read.schema(schema).options(**{**dict(k), **options}).parquet(*own)) for k, own in groups.items()])
+    whole = lambda df: df.select(*cols, *file)
     if not parts:
-        return spark.read.schema(schema).parquet(*[file_url(a, root) for a in adds.values()]).select(*cols, *file)
+        return each([file_url(a, root) for a in adds.values()], schema, whole)
     if all(":" not in a["path"].split("/")[0] and not a["path"].startswith("/")
-           and hive_values(unquote(a["path"])) == list(zip(parts, _values(a, parts))) for a in adds.values()):
-        return spark.read.schema(schema).option("basePath", root).parquet(*[file_url(a, root) for a in adds.values()]).select(*cols, *file)
+           and hive_values(unquote(a["path"])) == list(zip(parts, partition_tuple(a, parts))) for a in adds.values()):
+        return each([file_url(a, root) for a in adds.values()], schema, whole, basePath=root)
     data = T.StructType([f for f in schema if f.name not in parts])
     tuples: dict[tuple, list[str]] = {}
     for a in adds.values():
-        tuples.setdefault(_values(a, parts), []).append(file_url(a, root))
+        tuples.setdefault(partition_tuple(a, parts), []).append(file_url(a, root))
 
-    def read(paths):
+    def read(paths, select):
         # each file is read for itself, so foreign folders are no partitions
-        return spark.read.schema(data).option("recursiveFileLookup", "true").parquet(*paths)
+        return each(paths, data, select, recursiveFileLookup="true")
     if len(tuples) <= MAX_BRANCHES:
         branches = []
         for values, paths in tuples.items():
             own = dict(zip(parts, values))
-            branches.append(read(paths).select(*[
-                F.lit(own[f.name]).cast(f.dataType).alias(f.name) if f.name in own else F.col(f"`{f.name}`") for f in schema], *file))
+            row = [F.lit(own[f.name]).cast(f.dataType).alias(f.name) if f.name in own else F.col(f"`{f.name}`") for f in schema]
+            branches.append(read(paths, lambda df, row=row: df.select(*row, *file)))
         return reduce(DataFrame.unionAll, branches)
     rows = [(file_key(p), *v) for v, paths in tuples.items() for p in paths]
     names = spark.createDataFrame(rows, T.StructType([T.StructField("_p", T.StringType()), *[T.StructField(f"_v{i}", T.StringType()) for i in range(len(parts))]]))
     if sum(len(r[0]) + 32 * len(parts) for r in rows) <= BROADCAST_BYTES:
         names = F.broadcast(names)
     path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
-    joined = read([p for paths in tuples.values() for p in paths]).select("*", F.col("_metadata.file_path").alias("_file"), path.alias("_q"))
+    joined = read([p for paths in tuples.values() for p in paths], lambda df: df.select("*", F.col("_metadata.file_path").alias("_file"), path.alias("_q")))
     joined = joined.join(names, F.col("_q") == F.col("_p"))
     return joined.select(*[F.col(f"_v{parts.index(f.name)}").cast(f.dataType).alias(f.name) if f.name in parts else F.col(f"`{f.name}`") for f in schema],
                          *([F.col("_file")] if with_file else []))

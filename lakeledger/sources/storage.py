@@ -11,19 +11,26 @@ from urllib.parse import unquote
 from pyspark.sql import SparkSession
 
 _SETTINGS: dict[str, dict[str, str]] = {}
+#: file systems opened with registered settings, by scheme, authority and settings
+_OPEN: dict[tuple, object] = {}
 
 
 def register_settings(prefix: str, settings: dict[str, str]) -> None:
-    """Hadoop settings for all locations under ``prefix`` (a url, or ``scheme://`` for a default)."""
-    _SETTINGS[prefix] = dict(settings)
+    """Hadoop settings for all locations under ``prefix`` (a url, or ``scheme://`` for a default).
+
+    They hold for these locations alone: the session's own settings aren't touched.
+    """
+    _SETTINGS[prefix if prefix.endswith("://") else normal(prefix)] = {k: str(v) for k, v in settings.items()}
 
 
 def unregister_settings(prefix: str) -> None:
-    _SETTINGS.pop(prefix, None)
+    _SETTINGS.pop(prefix if prefix.endswith("://") else normal(prefix), None)
 
 
 def settings_for(url: str) -> dict[str, str]:
-    hits = [p for p in _SETTINGS if url.startswith(p)]
+    url = url if "://" in url else url.replace("file:", "file://", 1)
+    under = lambda p: url.startswith(p) if p.endswith("://") else f"{url}/".startswith(f"{p.replace('file:', 'file://', 1)}/")
+    hits = [p for p in _SETTINGS if under(p)]
     return _SETTINGS[max(hits, key=len)] if hits else {}
 
 
@@ -89,11 +96,25 @@ class Location:
     def _path(self, url: str | None = None):
         return self.spark._jvm.org.apache.hadoop.fs.Path(url or self.url)
 
-    def _fs(self):
-        conf = self.spark._jsc.hadoopConfiguration()
-        for k, v in settings_for(self.url).items():
+    @property
+    def settings(self) -> dict[str, str]:
+        return settings_for(self.url)
+
+    def _conf(self):
+        conf = self.spark._jvm.org.apache.hadoop.conf.Configuration(self.spark._jsc.hadoopConfiguration())
+        for k, v in self.settings.items():
             conf.set(k, v)
-        return self._path().getFileSystem(conf)
+        return conf
+
+    def _fs(self):
+        if not self.settings:
+            return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        uri = self._path().toUri()
+        key = (self.spark.sparkContext.applicationId, uri.getScheme(), uri.getAuthority(), tuple(sorted(self.settings.items())))
+        if key not in _OPEN:
+            # Hadoop's own cache tells file systems apart by scheme and authority only
+            _OPEN[key] = self.spark._jvm.org.apache.hadoop.fs.FileSystem.newInstance(uri, self._conf())
+        return _OPEN[key]
 
     def exists(self) -> bool:
         return os.path.exists(self.local) if self.local else self._fs().exists(self._path())
@@ -127,7 +148,7 @@ class Location:
         if self.local:
             with open(self.local, encoding="utf-8") as f:
                 return f.read()
-        return "\n".join(r[0] for r in self.spark.read.text(self.url).collect())
+        return "\n".join(r[0] for r in self.spark.read.options(**self.settings).text(self.url).collect())
 
     def rename(self, to: "Location") -> None:
         to.parent.mkdir()
@@ -157,7 +178,7 @@ class Location:
         out.write(bytearray(text.encode()))
         out.close()
         jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark._jsc.hadoopConfiguration())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self._conf())
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             context.rename(self._path(temp.url), self._path(), none)

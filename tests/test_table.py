@@ -5,6 +5,7 @@ import random
 import threading
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -271,3 +272,77 @@ def test_stream_appends_once(spark, tmp_path):
         append_stream(stream, t, str(tmp_path / "cp"), "feed").trigger(availableNow=True).start().awaitTermination()
     t = LakeTable(spark, t.root)
     assert t.count() == 8 and added_since(t, 0).count() == 5
+
+
+def test_predicates_skip_files_and_partitions(spark, tmp_path):
+    rows = [(i, "ab"[i % 2], None if i % 50 == 7 else i % 100) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, p string, q int")
+    t = LakeTable(spark, str(tmp_path / "t")).write(df.repartitionByRange(5, "id"), partition_by=["p"])
+    t = t.write(df.where("id < 100").withColumn("id", F.col("id") + 5000))
+    paths = lambda where: len(t.df(where).inputFiles())
+    every = len(t.file_urls())
+    assert paths("p = 'a'") == every // 2 and paths("id > 4000") == 2 and paths("p = 'b' AND id >= 5000") == 1 and paths("4000 < id AND p = 'zz'") == 0
+    assert paths("id > 4000 OR q = 3") == every and paths("rand() < 2") == every
+    for where in ("p = 'a' AND id > 4990", "id < 3", "q > 98", "p IS NULL", "id = 5001.0", "upper(p) = 'B' AND q < 5"):
+        assert sorted(t.df(where).collect()) == sorted(t.df().where(where).collect()), where
+
+
+def test_delete_reads_only_what_it_may_concern(spark, tmp_path, monkeypatch):
+    from lakeledger.operators import table as module
+
+    rows = [(i, ("a", "b", None)[i % 3], None if i % 10 == 0 else i) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, p string, q int")
+    whole = LakeTable(spark, str(tmp_path / "t")).write(df, partition_by=["p"])
+    read, scan = [], module.scan
+
+    def counted(spark, snapshot, root, adds=None, with_file=False):
+        read.append(len(snapshot.adds if adds is None else adds))
+        return scan(spark, snapshot, root, adds, with_file)
+    for k, (where, null_safe, most) in enumerate([("p = 'a'", True, 0), ("p = 'a'", False, 0), ("p = 'zz'", True, 0), ("p = 'a' AND q > 150", True, 1), ("q > 1000", True, 0),
+                                                  ("q > 1000", False, 3), ("p = 'b' AND q > 1000", False, 2)]):
+        t = whole.clone(str(tmp_path / f"c{k}"))
+        monkeypatch.setattr(module, "scan", counted)
+        read.clear()
+        after = t.delete(where, null_safe=null_safe)
+        monkeypatch.setattr(module, "scan", scan)
+        p = f"coalesce({where}, {'false' if null_safe else 'true'})"
+        gone = df.where(p).count()
+        assert after.df().count() == 300 - gone and after.history()[0]["operationMetrics"]["num_deleted_rows"] == gone, where
+        assert max(read or [0]) <= most, (where, read)
+    with pytest.raises(ValueError):
+        whole.delete("rand() < 0.5")
+
+
+def test_a_hot_partition_is_written_by_many_tasks(spark, tmp_path):
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        df = spark.range(0, 60_000, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"), F.when(F.col("id") % 100 < 97, "hot").otherwise("cold").alias("p"))
+        t = LakeTable(spark, str(tmp_path / "t")).write(df, partition_by=["p"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = [u.rsplit("/", 2)[1] for u in t.file_urls()]
+    assert files.count("p=hot") > 4 and files.count("p=cold") <= 2 and t.df().count() == 60_000
+
+
+def test_settings_stay_with_their_prefix(spark, tmp_path):
+    from lakeledger.sources.storage import Location, register_settings, settings_for, unregister_settings
+
+    key = "fs.test.key"
+    a, b = str(tmp_path / "a"), str(tmp_path / "ab")
+    register_settings(a, {key: "1"})
+    try:
+        t = LakeTable(spark, b, storage_options={key: "2"}).write(spark.range(3))
+        assert settings_for(f"file:{a}/x") == {key: "1"} and settings_for(f"file:{b}/x") == {key: "2"} and settings_for(f"file:{tmp_path}/c") == {}
+        assert Location.of(spark, a)._fs().getConf().get(key) == "1" and Location.of(spark, f"{b}/x")._fs().getConf().get(key) == "2"
+        assert spark._jsc.hadoopConfiguration().get(key) is None and t.df().count() == 3
+    finally:
+        unregister_settings(a)
+        unregister_settings(b)
+
+
+def test_schemas_of_many_files_are_all_read(spark, tmp_path):
+    for i in range(40):
+        pq.write_table(pa.table({"id": [i], **({"late": ["x"]} if i == 39 else {})}), str(tmp_path / f"f{i:02}.parquet"))
+    t = LakeTable(spark, str(tmp_path / "t")).import_files([str(tmp_path / f"f{i:02}.parquet") for i in range(40)])
+    assert t.schema().names == ["id", "late"] and t.df("late = 'x'").count() == 1
