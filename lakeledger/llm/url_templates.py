@@ -20,8 +20,11 @@ by the template tree of their host:
   labels the rate it takes; it is rejected when labels of its host reach it and
   its share reaches ``purity``.
 
-Labels are the verdicts of the rules and, as bad, hosts with a name part (between
-dots and dashes) among ``seed_words``.  Children are compared with their node's whole, never in pairs.
+Labels are the verdicts of the rules and, as bad, urls with a word of ``seed_words``
+in the host or the path (between characters that are neither letters nor digits), so
+that paths of one host differ in their labels.  A label is evidence for its template,
+not a verdict: a template of few labelled urls stays, and one that labels reach
+through similar branches goes without any of its own.  Children are compared with their node's whole, never in pairs.
 Levels beyond ``depth`` are one wildcard tail, which is part of the template
 language and drops no url.
 
@@ -130,7 +133,8 @@ def filter_urls(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, depth: int
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    seeded = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seed_words))) if seed_words else F.lit(False)
+    words = F.split(F.concat_ws("/", "host", F.translate("path", _UPPER, _UPPER.lower())), "[^a-z0-9]+")
+    seeded = F.arrays_overlap(words, F.array(*map(F.lit, seed_words))) if seed_words else F.lit(False)
     urls = urls.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("segs", shapes(F.col("path"), depth))
     marked = urls.select("host", "segs", F.coalesce((F.col("ruled") == "block") | (F.col("ruled").isNull() & seeded), F.lit(False)).cast("long").alias("bad"),
                          F.coalesce(F.col("ruled") == "allow", F.lit(False)).cast("long").alias("good"))

@@ -351,18 +351,3 @@ def test_html_style_tree_drops_what_every_page_has(spark):
     by = {r.page_id: r.text for r in extract_text(d).collect()}
     assert by[3] == "unique 3 words" and by[99] == "always the same\nunique 99 words"
     assert blocks("")[0] == []
-
-
-def test_pipeline_runs_whole(spark, docs, items, tmp_path):
-    pytest.importorskip("corpus_pipeline")
-    import corpus_pipeline as cp
-
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    items.write.parquet(str(tmp_path / "benchmark.parquet"))
-    spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    now = docs
-    for name, stage in cp.STAGES[:-1]:
-        now = stage(spark, now, str(tmp_path))
-        assert now.columns == list(cp.COLUMNS), name
-    out = cp.run(spark, str(tmp_path))
-    assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()} and out.count() > 20
