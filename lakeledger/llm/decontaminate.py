@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shared, stored, with_columns_of
+from .shared import Shared, cleared, stored, with_columns_of
 from .textops import ALNUM, cover, hash_words, mix, slices, split_words, windows, _MULT
 
 _SPANS = "array<struct<start:long,end:long>>"
@@ -341,6 +341,7 @@ def _index(items: DataFrame, k: int, gram: int) -> Shared:
     return Shared(items.sparkSession, ItemIndex([r[0] for r in rows], [r[1] for r in rows], k, gram))
 
 
+@cleared("leaks")
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, k: int = 8, gram: int = 5, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` without the rows that hold windows of ``least_items`` items or more; the hit words of the others are cut out.
 
@@ -359,6 +360,7 @@ def _ddl(docs: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
 
+@cleared("leaks")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, gram: int = 5, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, item_ids (ascending), spans (hit word ranges, end exclusive)."""
     docs = with_columns_of(docs, {"doc_id": "long", "text": "string"})

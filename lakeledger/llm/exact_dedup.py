@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, stored, with_columns_of
+from .shared import cleared, maybe_broadcast, stored, with_columns_of
 
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -123,6 +123,7 @@ def _grouped(maybe: DataFrame, hot_rows: int) -> DataFrame:
     return parts[0].union(parts[1].select(*parts[0].columns)).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "h")
 
 
+@cleared("exact-tested", "exact-groups")
 def exact_groups(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 30, hot_rows: int = 100_000) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = with_columns_of(docs, {"doc_id": "long", "text": "string"})

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, table, with_columns_of
+from .shared import cleared, stored, table, with_columns_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -255,6 +255,7 @@ def judged_nodes(nodes: DataFrame, low: float = 0.5, prior: float = 8.0, shared:
     return joined.where((importance >= low) == F.col("beside")).select("host", "path", "beside")
 
 
+@cleared("style-judged")
 def extract_text(pages: DataFrame, low: float = 0.5, prior: float = 8.0, shared: float = 4.0, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per page: page_id, url, text."""
     pages = with_columns_of(pages, {"page_id": "long", "url": "string", "html": "string"})

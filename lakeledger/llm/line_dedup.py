@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import Shared, new_path, stored, with_columns_of
+from .shared import Shared, cleared, new_path, stored, with_columns_of
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _KEYED = "doc_id long, row struct<id:long,lacks:boolean,text:long>, key binary"
@@ -192,6 +192,7 @@ def dedup_batch(runs: LineRuns, docs: DataFrame, min_len: int = 40) -> DataFrame
     return _apply(docs, drops.select("row", "key"), min_len)
 
 
+@cleared("line-lasting")
 def dedup_lines(docs: DataFrame, min_len: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, carry: dict | None = None,
                 broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: doc_id, the columns of ``carry`` ({name: type}), kept_text, n_lines, n_dropped.
@@ -211,4 +212,4 @@ def dedup_lines(docs: DataFrame, min_len: int = 40, min_docs: int = 5, batches:
         shared = Shared(docs.sparkSession, (known.column("key").to_pylist(), known.column("last_doc").to_pylist()))
         return docs.select(*others, "text").mapInArrow(_drop_known(shared, min_len, others), schema)
     drops = lines.select("doc_id", "row", "key").join(often, "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    return _apply(docs, drops.select("row", "key"), min_len)
+    return _apply(docs, stored(drops.select("row", "key"), "line-lasting"), min_len)

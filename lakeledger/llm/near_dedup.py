@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shared, maybe_broadcast, stored, with_columns_of
+from .shared import Shared, cleared, maybe_broadcast, stored, with_columns_of
 from .textops import ALNUM, U64, hash_words, int_column, mix, slices, split_words, windows
 
 #: members of a graph's base layer, which every query is compared with
@@ -475,6 +475,7 @@ class _Linker:
         self.turn(own.select(F.xxhash64("key", "sub").alias("shard"), (F.col("sub") != F.col("home")).alias("guest"), "query", "rep", "comp", "n", "code"), kind)
 
 
+@cleared("near-sigs", "near-reps", "near-classes")
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 3, radius: int = 38,
                     shard_rows: int = 20_000, task_rows: int = 50_000) -> DataFrame:
     """One row per document: doc_id, rep_id (smallest id of its equal texts), class_id (smallest of its near duplicates), kept."""
@@ -490,7 +491,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, b
     linker.link(shard_rows)
     linker.close("join")
     linker.close("rest")
-    out = reps.select("same", "rep").join(linker.comps, "rep", "left")
+    out = reps.select("same", "rep").join(stored(linker.comps, "near-classes"), "rep", "left")
     return sigs.select("doc_id", "same").join(out, "same", "left").select(
         "doc_id", F.col("rep").alias("rep_id"), F.coalesce("comp", "rep", "doc_id").alias("class_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("comp", "rep"), F.col("rep").isNull()).alias("kept"))
@@ -533,6 +534,7 @@ def _links(shared, shingle, threshold):
     return run
 
 
+@cleared()
 def link_recall(docs: DataFrame, classes: DataFrame, shingle: int = 5, threshold: float = 0.8, block: int = 2000) -> tuple[int, int]:
     """(true links, links inside one class) of the ids divisible by 100 against all rows, by exact Jaccard over an inverted index of the queries, block by block."""
     docs = with_columns_of(docs, {"doc_id": "long", "text": "string"})

@@ -1,6 +1,7 @@
 """Working folders, size checks and small DataFrame helpers."""
 from __future__ import annotations
 
+import functools
 import pickle
 import tempfile
 import uuid
@@ -24,8 +25,36 @@ def workdir(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
+#: the paths that each operator at work has written, innermost last
+_WRITTEN: list[list[tuple[str, str]]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append((name, path))
+    return path
+
+
+def cleared(*keep: str):
+    """For an operator whose first argument is a DataFrame: when it returns, the tables that it stored are removed,
+    but for those whose name begins with one of ``keep``, which its result still reads."""
+    def wrap(f):
+        @functools.wraps(f)
+        def run(df, *args, **options):
+            _WRITTEN.append([])
+            try:
+                return f(df, *args, **options)
+            finally:
+                remove(df.sparkSession, [p for name, p in _WRITTEN.pop() if not name.startswith(keep or ("\0",))])
+        return run
+    return wrap
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, stored, table, with_columns_of
+from .shared import cleared, maybe_broadcast, stored, table, with_columns_of
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 SEED_WORDS = ("casino", "pills", "viagra", "porn", "xxx", "adult", "bet", "bets", "betting", "jackpot", "replica", "payday", "spam", "ads")
@@ -126,6 +126,7 @@ def template_tree(urls: DataFrame, depth: int = 6, max_children: int = 20, diver
     return tree.select("host", "raw", F.col("prefix").alias("template"), "n", "bad", "good", "above", "reached")
 
 
+@cleared("url-judged")
 def filter_urls(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, depth: int = 6, max_children: int = 20, divergence: float = 0.1,
                 alpha: float = 2.0, purity: float = 0.8) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template, bad_share."""

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty and long texts, repeats and clashing columns."""
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lakeledger.llm import near_dedup as nd
 from lakeledger.llm import queries as Q
+from lakeledger.llm import shared
 from lakeledger.llm.decontaminate import decontaminate, remove_leaks
 from lakeledger.llm.exact_dedup import exact_groups
 from lakeledger.llm.html_extract import blocks, extract_text
@@ -351,3 +353,12 @@ def test_html_style_tree_drops_what_every_page_has(spark):
     by = {r.page_id: r.text for r in extract_text(d).collect()}
     assert by[3] == "unique 3 words" and by[99] == "always the same\nunique 99 words"
     assert blocks("")[0] == []
+
+
+def test_operators_leave_only_what_their_results_read(spark, docs, items, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "workdir", lambda spark: f"file://{tmp_path}")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)], "doc_id long, toxic int")
+    results = [reject_toxic(docs, labels), near_duplicates(docs), dedup_lines(docs), exact_groups(docs), remove_leaks(docs, items, broadcast_bytes=0)]
+    assert all(r.count() for r in results)
+    names = {n.rsplit("-", 1)[0] for n in os.listdir(tmp_path)}
+    assert names == {"near-sigs", "near-reps", "near-classes", "exact-tested", "exact-groups", "leaks"}
