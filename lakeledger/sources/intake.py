@@ -32,6 +32,9 @@ def frames(spark: SparkSession, data) -> list[DataFrame]:
         return frames(spark, pa.Table.from_pandas(data, preserve_index=False))
     if isinstance(data, ds.FileSystemDataset):
         return [spark.read.parquet(*map(normal, data.files))]
+    if isinstance(data, ds.UnionDataset):
+        # one dataset over its children's fields, each child read where it lies
+        return [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f for c in data.children for f in frames(spark, c)])]
     if isinstance(data, ds.Dataset):
         return frames(spark, data.to_table())
     if isinstance(data, (str, Location)):

@@ -346,3 +346,13 @@ def test_schemas_of_many_files_are_all_read(spark, tmp_path):
         pq.write_table(pa.table({"id": [i], **({"late": ["x"]} if i == 39 else {})}), str(tmp_path / f"f{i:02}.parquet"))
     t = LakeTable(spark, str(tmp_path / "t")).import_files([str(tmp_path / f"f{i:02}.parquet") for i in range(40)])
     assert t.schema().names == ["id", "late"] and t.df("late = 'x'").count() == 1
+
+
+def test_a_union_of_datasets_is_read_file_by_file(spark, tmp_path):
+    import pyarrow.dataset as ds
+
+    for n, cols in (("a", {"id": [1, 2]}), ("b", {"id": [3], "x": ["y"]})):
+        pq.write_table(pa.table(cols), str(tmp_path / f"{n}.parquet"))
+    both = ds.dataset([ds.dataset(str(tmp_path / "a.parquet"), schema=pa.schema([("id", pa.int64())])), ds.dataset(str(tmp_path / "b.parquet"))])
+    t = LakeTable(spark, str(tmp_path / "t")).write(both)
+    assert sorted(map(tuple, t.df().select("id").collect())) == [(1,), (2,), (3,)]
