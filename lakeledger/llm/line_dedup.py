@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import Shared, cleared, new_path, stored, with_columns_of
+from .shared import Shared, cleared, new_path, small, stored, trimmed, with_columns_of
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _KEYED = "doc_id long, row struct<id:long,lacks:boolean,text:long>, key binary"
@@ -52,7 +52,7 @@ def _texts(batch):
 
 def _keys(min_len):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             at, keys = [], []
             for i, text in enumerate(_texts(batch)):
                 own = {line_key(x, min_len) for x in text.split(b"\n")} - {None}
@@ -60,12 +60,12 @@ def _keys(min_len):
                 keys += own
             at = pa.array(at, pa.int64())
             yield pa.record_batch([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(keys, pa.binary())], names=["doc_id", "row", "key"])
-    return run
+    return trimmed(run)
 
 
 def _drop(min_len, columns):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, drop in zip(_texts(batch), batch.column("drop").to_pylist()):
                 lines = text.split(b"\n")
@@ -79,7 +79,7 @@ def _drop(min_len, columns):
             yield pa.record_batch(
                 [*(batch.column(c) for c in columns), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                 names=[*columns, "kept_text", "n_lines", "n_dropped"])
-    return run
+    return trimmed(run)
 
 
 def _row():
@@ -156,7 +156,7 @@ def _drop_known(shared, min_len, columns):
     def run(batches):
         keys, last = shared.value
         keep = dict(zip(keys, last))
-        for batch in batches:
+        for batch in small(batches):
             texts, n_lines, n_dropped = [], [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
                 lines = text.split(b"\n")
@@ -167,7 +167,7 @@ def _drop_known(shared, min_len, columns):
             yield pa.record_batch(
                 [*(batch.column(c) for c in columns), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                 names=[*columns, "kept_text", "n_lines", "n_dropped"])
-    return run
+    return trimmed(run)
 
 
 def _out_schema(docs: DataFrame) -> tuple[list[str], StructType]:

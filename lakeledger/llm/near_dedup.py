@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shared, cleared, maybe_broadcast, stored, with_columns_of
+from .shared import Shared, cleared, maybe_broadcast, stored, trimmed, with_columns_of
 from .textops import ALNUM, U64, hash_words, int_column, mix, slices, split_words, windows
 
 #: members of a graph's base layer, which every query is compared with
@@ -120,7 +120,7 @@ def _signatures(shingle, bands, rows):
                     pa.array([x.tobytes() + y.tobytes() for x, y in zip(sim, mins)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))],
                     names=["doc_id", "same", "n", "code", "keys"])
-    return run
+    return trimmed(run)
 
 
 def hamming(a, b):
@@ -368,7 +368,7 @@ def _sets(shingle):
                     own = h[edge[r]:edge[r + 1]]
                     blob.append(own.tobytes() if len(own) > _WIDE else np.unique((own >> U64(32)).astype(np.uint32)).tobytes())
                 yield pa.record_batch([batch.column("rep").slice(a, b - a), pa.array(np.diff(edge), pa.int64()), pa.array(blob, pa.binary())], names=["rep", "n", "set"])
-    return run
+    return trimmed(run)
 
 
 def _set(blob, n):

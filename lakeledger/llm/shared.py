@@ -1,11 +1,13 @@
 """Working folders, size checks and small DataFrame helpers."""
 from __future__ import annotations
 
+import ctypes
 import functools
 import pickle
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,25 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(batches, rows: int = 1000):
+    """The batches in parts of at most ``rows`` rows, for work that makes Python objects of them."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def trimmed(run):
+    """``run`` over a task's batches, after which the worker, which lives on for other tasks, returns its free memory."""
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+    return whole
+
+
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only if ``df``'s counted rows fit in ``limit``; beyond it Spark's own join choice holds."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
