@@ -10,15 +10,15 @@ not, a polarity: the log ratio of its two visiting probabilities.  A document is
 scored by a logistic model of its words' polarities, fitted on the labelled sample.
 
 The graph is never built whole.  Its rows are counted where a walk goes on from:
-each of ``scans`` passes over all documents expands terms of at least ``expand``
-visiting probability, those of most probability for their share of all words
-first, up to a share of ``work`` a side; a walk at any other term starts anew.
-So a pass counts at most 4 * work * window pairs a word and kind of term, whatever
-the corpus, and the terms of at least ``least`` probability, at most 1 / ``least`` a side, are
-the lexicon.
-
-Bounds, all parameters: ``sample`` labelled rows of each class (the first by
-hash), ``seeds`` seeds a side.  Near copies (rows with the same four min-hashes)
+the first pass over all documents expands every seed, each further pass every term
+of at least ``expand`` visiting probability that has no row yet, until none is left;
+a walk at any other term starts anew.  Edges between expanded terms are walked on the
+driver, or where they are more than ``held`` by the executors, with the same result.
+The terms of at least ``least`` probability are the lexicon; those below would have a
+polarity of at most ``least`` / ``floor``.
+
+One bound, a parameter: ``sample`` labelled rows of each class (the first by
+hash).  All their terms that qualify are seeds.  Near copies (rows with the same four min-hashes)
 share the weight of one document among their labels.
 
 Defined cases: null, empty and wordless texts get the model's score of no
@@ -276,6 +276,39 @@ def walk(n: int, source, target, weight, start: np.ndarray, restart: float, step
     return p
 
 
+def _move(shared, own):
+    """(target, moved probability of each side) over some edges, summed within the task."""
+    def run(batches):
+        total = np.zeros((2, len(own.value)))
+        for batch in batches:
+            source, target = (np.searchsorted(own.value, batch.column(c).to_numpy().view(np.uint64)) for c in ("f", "term"))
+            w = batch.column("w").to_numpy()
+            for side, p in enumerate(shared.value):
+                total[side] += np.bincount(target, weights=p[source] * w, minlength=len(p))
+        at = np.flatnonzero(total.any(0))
+        for a in range(0, len(at), 1 << 17):
+            own_at = at[a:a + (1 << 17)]
+            yield pa.record_batch([pa.array(own_at), pa.array(total[0, own_at]), pa.array(total[1, own_at])], names=["at", "m0", "m1"])
+    return trimmed(run)
+
+
+def walk_apart(edges: DataFrame, own: np.ndarray, starts: list[np.ndarray], restart: float, steps: int = 60) -> list[np.ndarray]:
+    """``walk`` from both starts over edges (f, term, w) between the terms ``own``, which stay on the executors."""
+    spark, p = edges.sparkSession, list(starts)
+    names = Shared(spark, own)
+    for _ in range(steps):
+        rows = edges.mapInArrow(_move(Shared(spark, p), names), "at long, m0 double, m1 double").groupBy("at").agg(F.sum("m0").alias("m0"), F.sum("m1").alias("m1")).toArrow()
+        last = p
+        p = []
+        for side, start in enumerate(starts):
+            moved = np.zeros(len(own))
+            moved[rows.column("at").to_numpy()] = (1 - restart) * rows.column(f"m{side}").to_numpy()
+            p.append(moved + (1 - moved.sum()) * start)
+        if max(np.abs(x - y).sum() for x, y in zip(p, last)) < 1e-13:
+            break
+    return p
+
+
 def _sample(docs, labels, sample):
     """(doc_id, text, toxic, weight): one row for each family of copies and label among the chosen labelled rows."""
     some = [labels.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "id") for c in (0, 1)]
@@ -290,8 +323,8 @@ def _sample(docs, labels, sample):
 class _Graph:
     """The rows of the word graph that walks go on from."""
 
-    def __init__(self, docs: DataFrame, sigma: float, window: int):
-        self.docs, self.spark, self.sigma, self.window = docs.select("text"), docs.sparkSession, sigma, window
+    def __init__(self, docs: DataFrame, sigma: float, window: int, held: int):
+        self.docs, self.spark, self.sigma, self.window, self.held = docs.select("text"), docs.sparkSession, sigma, window, held
         self.alone = self.edges = None
         self.expanded = np.zeros(0, np.uint64)
         self.words = 1
@@ -303,8 +336,10 @@ class _Graph:
     def occurrences(self, h) -> np.ndarray:
         """How often each term occurs."""
         rows = self.alone.join(F.broadcast(self._frame(h)), F.col("term") == F.col("f")).select("f", "n").toArrow()
-        have = dict(zip(rows.column("f").to_pylist(), rows.column("n").to_pylist()))
-        return np.array([have.get(int(x), 0) for x in np.asarray(h, np.uint64).view(np.int64)])
+        h, found = np.asarray(h, np.uint64), rows.column("f").to_numpy().view(np.uint64)
+        out, order = np.zeros(len(h), np.int64), np.argsort(h)
+        out[order[np.searchsorted(h[order], found)]] = rows.column("n").to_numpy()
+        return out
 
     def expand(self, h: np.ndarray) -> None:
         """Counts the rows of the terms ``h`` in one pass over all documents; the first pass counts all terms as well."""
@@ -324,37 +359,30 @@ class _Graph:
         self.expanded = np.sort(np.concatenate([self.expanded, h]))
 
     def visited(self, seeds: list[np.ndarray], pulls: list[np.ndarray], restart: float, least: float):
-        """(term, occurrences, probability of the walk from each side's seeds) of the terms visited with at least ``least``."""
+        """(term, probability of the walk from each side's seeds) of the terms visited with at least ``least``."""
         own, n = self.expanded, len(self.expanded)
-        inner = self.edges.join(F.broadcast(self._frame(own).withColumnRenamed("f", "g")), F.col("term") == F.col("g")).select("f", "term", "w").toArrow()
-        place = lambda c: np.searchsorted(own, inner.column(c).to_numpy().view(np.uint64))
-        source, target, w = place("f"), place("term"), inner.column("w").to_numpy()
-        order = np.lexsort((target, source))
-        source, target, w = source[order], target[order], w[order]
-        p = []
-        for h, pull in zip(seeds, pulls):
-            start = np.zeros(n)
-            at = np.searchsorted(own, h)
-            on = (at < n) & (own[np.minimum(at, max(n - 1, 0))] == h) if n else np.zeros(len(h), bool)
-            start[at[on]] = pull[on]
-            p.append(walk(n, source, target, w, start, restart))
+        inner = stored(self.edges.join(F.broadcast(self._frame(own).withColumnRenamed("f", "g")), F.col("term") == F.col("g")).select("f", "term", "w"), "tox-inner")
+        starts = [np.zeros(n) for _ in seeds]
+        for start, h, pull in zip(starts, seeds, pulls):
+            start[np.searchsorted(own, h)] = pull  # every seed is expanded
+        if inner.count() > self.held:
+            p = walk_apart(inner, own, starts, restart)
+        else:
+            rows = inner.toArrow()
+            source, target = (np.searchsorted(own, rows.column(c).to_numpy().view(np.uint64)) for c in ("f", "term"))
+            order = np.lexsort((target, source))
+            source, target, w = source[order], target[order], rows.column("w").to_numpy()[order]
+            p = [walk(n, source, target, w, start, restart) for start in starts]
         mass = self._frame(own, p0=p[0], p1=p[1])
         reached = self.edges.join(F.broadcast(mass), "f").groupBy("term").agg(
             *[(F.sum(F.col("w") * F.col(c)) * (1 - restart)).alias(c) for c in ("p0", "p1")]).where(F.greatest("p0", "p1") >= least)
-        rows = reached.join(self.alone, "term").orderBy("term").toArrow()
-        h = rows.column("term").to_numpy().view(np.uint64)
-        return h, rows.column("n").to_numpy(), np.stack([np.round(rows.column(c).to_numpy(), 12) for c in ("p0", "p1")], 1)
-
-
-def _affordable(h, p, share, work):
-    """The terms that a pass expands: those with most probability for their share of all words, ``work`` of these in all."""
-    order = np.lexsort((h, share / np.maximum(p, 1e-300)))
-    return h[order[np.cumsum(share[order]) <= work]]
+        rows = reached.orderBy("term").toArrow()
+        return rows.column("term").to_numpy().view(np.uint64), np.stack([np.round(rows.column(c).to_numpy(), 12) for c in ("p0", "p1")], 1)
 
 
 @cleared()
-def induce(docs: DataFrame, labels: DataFrame, sample: int = 8000, seeds: int = 128, scans: int = 2, restart: float = 0.4, window: int = 6,
-           sigma: float = 5.0, expand: float = 1e-3, work: float = 0.02, least: float = 1e-5, floor: float = 1e-4) -> Lexicon | None:
+def induce(docs: DataFrame, labels: DataFrame, sample: int = 8000, restart: float = 0.4, window: int = 6,
+           sigma: float = 5.0, expand: float = 1e-3, least: float = 1e-5, floor: float = 1e-4, held: int = 1 << 22) -> Lexicon | None:
     """The lexicon learned from ``labels`` (doc_id, toxic) and all ``docs`` (doc_id, text); None without both classes."""
     docs = with_columns_of(docs, {"doc_id": "long", "text": "string"})
     labels = with_columns_of(labels, {"doc_id": "long", "toxic": "int"}).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(
@@ -372,35 +400,26 @@ def induce(docs: DataFrame, labels: DataFrame, sample: int = 8000, seeds: int =
     a, b = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
     odds = F.log(a / (t - F.col("t") + 0.5)) - F.log(b / (n - t - (F.col("n") - F.col("t")) + 0.5))
     ranked = stored(counts.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b)), "tox-terms")
-    toxic = ranked.where("z > 3 and odds > 1").orderBy(F.desc("z"), "term").limit(seeds).collect()
-    clean = ranked.where("z < -1 and odds < -0.5").orderBy("z", "term").limit(seeds).collect()
-    if not toxic:
+    sides, pulls = [], []
+    for which in ("z > 3 and odds > 1", "z < -1 and odds < -0.5"):
+        rows = ranked.where(which).select("term", F.abs("z").alias("z")).orderBy("term").toArrow()
+        z = rows.column("z").to_numpy()
+        sides.append(rows.column("term").to_numpy().view(np.uint64))
+        pulls.append(z / max(z.sum(), 1e-300))
+    if not len(sides[0]):
         return None
-    counted = ranked.agg(F.sum("n")).first()[0]
-    sides = [np.array([r["term"] for r in side], np.int64).view(np.uint64) for side in (toxic, clean)]
-    pulls = [np.array([abs(r["z"]) for r in side]) / sum(abs(r["z"]) for r in side) if side else np.zeros(0) for side in (toxic, clean)]
-    every, pull = np.concatenate(sides), np.concatenate(pulls)
-    # seeds are expanded by the shares that the sample shows, as not all words are counted yet
-    share = np.array([r["n"] for side in (toxic, clean) for r in side]) / max(1.0, counted)
-    graph = _Graph(docs, sigma, window)
-    graph.expand(np.unique(np.concatenate([_affordable(h, q, s, work) for h, q, s in zip(sides, pulls, np.split(share, [len(toxic)]))])))
-    for k in range(scans):
-        h, n_words, p = graph.visited(sides, pulls, restart, least)
-        if k == scans - 1:
-            break
-        new = [_affordable(h[some], p[some, x], n_words[some] / graph.words, work) for x in (0, 1)
-               for some in [np.flatnonzero((p[:, x] >= expand) & ~np.isin(h, graph.expanded))]]
-        new = np.unique(np.concatenate(new))
-        if not len(new):
-            break
+    graph = _Graph(docs, sigma, window, held)
+    new = np.concatenate(sides)
+    while len(new):
         graph.expand(new)
-    visits = {int(x): list(y) for x, y in zip(h, p)}
-    for side, (own, q) in enumerate(zip(sides, pulls)):
-        for x, y in zip(own, q):
-            visits.setdefault(int(x), [0.0, 0.0])[side] += restart * float(y)
-    known = np.array(sorted(visits), np.uint64)
-    p = np.array([visits[int(x)] for x in known])
-    lexicon = Lexicon(known, np.log((p[:, 0] + floor) / (p[:, 1] + floor)))
+        h, p = graph.visited(sides, pulls, restart, least)
+        new = h[(p.max(1) >= expand) & ~np.isin(h, graph.expanded)]
+    known = np.unique(np.concatenate([h, *sides]))
+    q = np.zeros((len(known), 2))
+    q[np.searchsorted(known, h)] = p
+    for side, (own, pull) in enumerate(zip(sides, pulls)):
+        q[np.searchsorted(known, own), side] += restart * pull
+    lexicon = Lexicon(known, np.log((q[:, 0] + floor) / (q[:, 1] + floor)))
     rows = chosen.mapInArrow(_features(Shared(docs.sparkSession, lexicon)), "doc_id long, toxic int, weight long, f array<double>").orderBy("doc_id", "toxic").toArrow()
     y, weight = rows.column("toxic").to_numpy().astype(float), rows.column("weight").to_numpy() / _ONE
     weight = weight * np.where(y == 1, sizes[1] / taken[1], sizes[0] / taken[0])
