@@ -136,20 +136,60 @@ class _Counts:
     def full(self):
         return self.held > self.LIMIT
 
-    def take(self, expanded, size=1 << 17):
+    def take(self, shards):
+        """(shard of the term, packed counts), after which nothing is held."""
         self.combine()
         for f, h, c in self.parts:
-            for a in range(0, len(h), size):
-                own = f[a:a + size]
-                alone = own < 0
-                names = np.zeros(len(own), np.int64) if not len(expanded) else expanded[np.maximum(own, 0)].view(np.int64)
-                yield pa.record_batch([pa.array(names, mask=alone), pa.array(h[a:a + size].view(np.int64)), pa.array(c[a:a + size])], names=["f", "term", "c"])
+            shard = (mix(h) % np.uint64(shards)).astype(np.int32)
+            order = np.lexsort((f, shard))
+            f, h, c, shard = f[order], h[order], c[order], shard[order]
+            own = np.unique(shard)
+            cuts = np.append(np.searchsorted(shard, own), len(shard))
+            blobs = [pack(f[x:y], h[x:y], c[x:y]) for x, y in zip(cuts, cuts[1:])]
+            for x in range(0, len(own), 64):
+                yield pa.record_batch([pa.array(own[x:x + 64]), pa.array(blobs[x:x + 64], pa.binary())], names=["shard", "pack"])
         self.parts, self.held = [], 0
 
 
-def _cooccur(shared, alone, window):
-    """(f, term, documents where the term stands near f) for the expanded terms f; if ``alone``, with f null the occurrences of
-    each term, and of all words as term 0."""
+def _planes(x):
+    """The bytes of the numbers by significance, so that compression finds the zeros."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplanes(raw, kind):
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack(f, h, c) -> bytes:
+    """Counts sorted by ``f`` in 20 bytes each, of which the shuffle's compression leaves little more than the hash."""
+    return _planes(np.diff(f, prepend=np.int32(0)).astype(np.int32)) + h.tobytes() + _planes(c)
+
+
+def unpack(raw: bytes):
+    n = len(raw) // 20
+    return np.cumsum(_unplanes(raw[:4 * n], np.int32)).astype(np.int32), np.frombuffer(raw, np.uint64, n, 4 * n), _unplanes(raw[12 * n:], np.int64)
+
+
+def _merged(shared, sigma):
+    """A shard's packed counts summed; pairs that no term's chance could make an edge of, as they stand in at most ``sigma``
+    documents, are left out."""
+    def run(table):
+        expanded, counts = shared.value, _Counts()
+        for column in table.column("pack").chunks:
+            for raw in column:
+                counts.add(*unpack(raw.as_py()))
+        counts.combine()
+        f, h, c = counts.parts[0]
+        some = (f < 0) | (c > sigma)
+        f, h, c = f[some], h[some], c[some]
+        names = np.zeros(len(f), np.int64) if not len(expanded) else expanded[np.maximum(f, 0)].view(np.int64)
+        return pa.table({"f": pa.array(names, mask=f < 0), "term": pa.array(h.view(np.int64)), "c": pa.array(c)})
+    return run
+
+
+def _cooccur(shared, alone, window, shards):
+    """Packed (f, term, documents where the term stands near f) for the places f of the expanded terms; if ``alone``, with f -1
+    the occurrences of each term, and of all words as term 0."""
     def run(batches):
         expanded, counts = shared.value, _Counts()
         for batch in batches:
@@ -187,8 +227,8 @@ def _cooccur(shared, alone, window):
             if counts.full():
                 counts.combine()
                 if counts.full():
-                    yield from counts.take(expanded)
-        yield from counts.take(expanded)
+                    yield from counts.take(shards)
+        yield from counts.take(shards)
     return trimmed(run)
 
 
@@ -263,7 +303,7 @@ def _score(shared):
         for batch in batches:
             got = shared.value.score(shared.value.features(batch.column("text")))
             yield pa.record_batch([batch.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
-    return run
+    return trimmed(run)
 
 
 def walk(n: int, source, target, weight, start: np.ndarray, restart: float, steps: int = 60) -> np.ndarray:
@@ -313,7 +353,7 @@ def _sample(docs, labels, sample):
     """(doc_id, text, toxic, weight): one row for each family of copies and label among the chosen labelled rows."""
     some = [labels.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "id") for c in (0, 1)]
     rows = docs.join(F.broadcast(some[0].union(some[1])), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
-    marked = rows.mapInArrow(_marked, "doc_id long, text string, toxic int, mark long")
+    marked = rows.mapInArrow(trimmed(_marked), "doc_id long, text string, toxic int, mark long")
     family = marked.groupBy("mark", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("s"), F.count("*").alias("c"))
     whole = family.groupBy("mark").agg(F.sum("c").alias("whole"))
     weight = F.greatest(F.round(_ONE * F.col("c") / F.col("whole")), F.lit(1)).cast("long")
@@ -345,7 +385,11 @@ class _Graph:
         """Counts the rows of the terms ``h`` in one pass over all documents; the first pass counts all terms as well."""
         h = np.sort(h)
         first = self.alone is None
-        pairs = stored(self.docs.mapInArrow(_cooccur(Shared(self.spark, h), first, self.window), "f long, term long, c long").groupBy("f", "term").agg(F.sum("c").alias("c")), "tox-pairs")
+        self.spark._jvm.System.gc()  # the shuffle files of the pass before go when the driver collects its garbage
+        shared = Shared(self.spark, h)
+        shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.docs.rdd.getNumPartitions())
+        packs = self.docs.mapInArrow(_cooccur(shared, first, self.window, shards), "shard int, pack binary")
+        pairs = stored(packs.groupBy("shard").applyInArrow(_merged(shared, self.sigma), "f long, term long, c long"), "tox-pairs")
         if first:
             self.alone = pairs.where("f is null and term <> 0").select("term", F.col("c").alias("n"))
             self.words = max(1, (pairs.where("f is null and term = 0").first() or {"c": 1})["c"])
@@ -434,7 +478,7 @@ def _features(shared):
             got = shared.value.features(batch.column("text"))
             f = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * _FEATURES, pa.int32()), pa.array(got.ravel()))
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), batch.column("weight"), f], names=["doc_id", "toxic", "weight", "f"])
-    return run
+    return trimmed(run)
 
 
 def held_out(doc_id="doc_id"):

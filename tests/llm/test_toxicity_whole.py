@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from lakeledger.llm.toxicity import induce, walk, walk_apart
+from lakeledger.llm.shared import Shared
+from lakeledger.llm.toxicity import _Counts, _merged, induce, walk, walk_apart
 
 GOOD = [f"g{i}" for i in range(400)]
 
@@ -46,3 +47,26 @@ def test_walk_on_executors_against_walk_on_driver(spark):
     edges = spark.createDataFrame(pa.table({"f": own[source].view(np.int64), "term": own[target].view(np.int64), "w": w})).repartition(3)
     for got, start in zip(walk_apart(edges, own, starts, 0.4, steps=6), starts):
         assert np.allclose(got, walk(n, source, target, w, start, 0.4, steps=6))
+
+
+def test_packed_counts_against_plain_sums(spark):
+    r = np.random.Generator(np.random.PCG64(4))
+    expanded = np.sort(r.integers(1, 1 << 63, 40, dtype=np.uint64) * np.uint64(2))
+    terms = r.integers(1, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plain, packs = {}, {}
+    for _ in range(5):
+        counts = _Counts()
+        f, h, c = r.integers(-1, 40, 4000).astype(np.int32), r.choice(terms, 4000), r.integers(1, 3, 4000)
+        c[0] = 1 << 40
+        for x, y, z in zip(f.tolist(), h.tolist(), c.tolist()):
+            plain[x, y] = plain.get((x, y), 0) + z
+        counts.add(f, h, c)
+        for batch in counts.take(7):
+            for shard, raw in zip(*(x.to_pylist() for x in batch.columns)):
+                packs.setdefault(shard, []).append(raw)
+    got = {}
+    for own in packs.values():
+        rows = _merged(Shared(spark, expanded), 5.0)(pa.table({"pack": pa.array(own, pa.binary())}))
+        for f, term, c in zip(*(x.to_pylist() for x in rows.columns)):
+            got[-1 if f is None else int(np.searchsorted(expanded, np.int64(f).astype(np.uint64))), int(np.int64(term).astype(np.uint64))] = c
+    assert got == {k: v for k, v in plain.items() if k[0] < 0 or v > 5}
