@@ -59,9 +59,27 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python workers ``rows`` at a time where the session has Spark's default of 10,000, which an executor holds
+    several times over for each task, outside its heap; another setting stays."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
+
+def return_heap(spark: SparkSession) -> int:
+    """Every executor collects its garbage and returns the heap that is free to the system, for the Python workers of what
+    follows; the tasks that did so, one for each core."""
+    cores = spark.sparkContext.defaultParallelism
+    return len(spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).collect())
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    modest_batches(spark)
     path = new_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)

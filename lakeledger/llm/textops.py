@@ -45,7 +45,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(which: int, n: int):
     have = _POW.get(which)
     if have is None or len(have[0]) <= n:
-        size = max(SLICE * 2, n + 1)
+        size = max(SLICE, n) + 1
         base = _BASES[which]
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
