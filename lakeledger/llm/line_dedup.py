@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import Shared, cleared, new_path, small, stored, trimmed, with_columns_of
+from .shared import UNMARKED, Shared, cleared, new_path, return_heap_if_due, small, stored, trimmed, with_columns_of
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _KEYED = "doc_id long, row struct<id:long,lacks:boolean,text:long>, key binary"
@@ -98,14 +98,18 @@ class LineRuns:
 
     SCHEMA = "key binary, n_docs long, last_doc long"
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = 4, rows: int | None = None, bucket_rows: int = 1 << 18):
+        """``rows``: how many keys will come at most, if that is known; runs have no more buckets than those fill with ``bucket_rows``."""
         self.spark, self.fanout, self.runs, self.tally = spark, fanout, [], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if rows is not None:
+            self.buckets = min(self.buckets, max(1, -(-rows // bucket_rows)))
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = new_path(self.spark, f"line-run-{level}")
         name = "run_" + path.rsplit("-", 1)[1]
-        rows.repartition(self.buckets, "key").write.format("parquet").option("path", path).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+        return_heap_if_due(self.spark)
+        rows.repartition(self.buckets, "key").write.format("parquet").options(path=path, **UNMARKED).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         self.runs.append((level, name))
 
     def add(self, lines: DataFrame) -> DataFrame:
@@ -139,7 +143,7 @@ class LineRuns:
         every = reduce(DataFrame.union, [self.spark.table(n) for _, n in self.runs])
         if not self.tally:
             return every
-        again = reduce(DataFrame.union, self.tally).groupBy("key").agg(F.sum("n_docs").alias("n"), F.max("last_doc").alias("last"))
+        again = reduce(DataFrame.union, self.tally).repartition(self.buckets, "key").groupBy("key").agg(F.sum("n_docs").alias("n"), F.max("last_doc").alias("last"))
         return every.join(again, "key", "left").select(
             "key", (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
 
@@ -201,7 +205,7 @@ def dedup_lines(docs: DataFrame, min_len: int = 40, min_docs: int = 5, batches:
     """
     docs = with_columns_of(docs, {"doc_id": "long", "text": "string", **(carry or {})})
     lines = stored(line_keys(docs, min_len).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")), "line-keys", ["batch"])
-    runs = LineRuns(docs.sparkSession, fanout)
+    runs = LineRuns(docs.sparkSession, fanout, lines.count())
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("doc_id", "key"))
     often = stored(runs.totals().where((F.col("n_docs") >= min_docs) & F.col("last_doc").isNotNull()).select("key", "last_doc"), "line-often")

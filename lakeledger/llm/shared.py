@@ -5,6 +5,7 @@ import ctypes
 import functools
 import pickle
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -70,18 +71,52 @@ def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def return_heap(spark: SparkSession) -> int:
-    """Every executor collects its garbage and returns the heap that is free to the system, for the Python workers of what
-    follows; the tasks that did so, one for each core."""
+    """The driver and every executor collect their garbage and return the heap that is free to the system, for the Python
+    workers of what follows; the executors' tasks that did so, one for each core."""
+    spark._jvm.System.gc()
     cores = spark.sparkContext.defaultParallelism
     return len(spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).collect())
 
 
+#: for each stage at work, innermost last, when the heap is to be returned again
+_DUE: list[float] = []
+
+
+def heap_returned(stage):
+    """For a stage, whose first argument is the session: the heap is returned before it and, for a tenth of its time at most,
+    before tables that it stores; a JVM keeps what it has touched, so its peaks creep up from table to table."""
+    @functools.wraps(stage)
+    def run(spark, *args, **options):
+        _DUE.append(0.0)
+        try:
+            return_heap_if_due(spark)
+            return stage(spark, *args, **options)
+        finally:
+            _DUE.pop()
+    return run
+
+
+def return_heap_if_due(spark: SparkSession) -> None:
+    began = time.monotonic()
+    if _DUE and began >= _DUE[-1]:
+        return_heap(spark)
+        now = time.monotonic()
+        _DUE[-1] = now + 9 * (now - began)
+
+
+#: what is stored is read by this job alone, which asks for no mark of success: two files less for each table, and on a local
+#: disk a JVM starts a process for each file that it creates, which shares its memory until it runs a program of its own
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     modest_batches(spark)
+    return_heap_if_due(spark)
     path = new_path(spark, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = df.write.options(**UNMARKED)
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
