@@ -177,13 +177,14 @@ def _foreign(spark, d, layout):
     root = scratch(spark, "foreign")
     o = _read(spark, d, "orders")
     for (s,) in sorted(o.select("o_orderstatus").distinct().collect()):
-        own = o.where(F.col("o_orderstatus") == s).drop("o_orderstatus").coalesce(1)
+        own = o.where(F.col("o_orderstatus") == s).drop("o_orderstatus")
         if layout == "filename":
             own.write.parquet(stage := scratch(spark, "stage"))
             from .sources.storage import Location
 
-            file = next(f for f in Location.of(spark, stage).files() if f[0].endswith(".parquet"))
-            Location(spark, file[0]).rename(Location.of(spark, root).child(f"{s}_part-0.parquet"))
+            files = [f[0] for f in Location.of(spark, stage).files() if f[0].endswith(".parquet")]
+            for i, file in enumerate(files):
+                Location(spark, file).rename(Location.of(spark, root).child(f"{s}_part-{i}.parquet"))
         else:
             own.write.parquet(f"{root}/{'o_orderstatus=' if layout == 'hive' else ''}{s}")
     return FileSet(root, layout, T.StructType([T.StructField("o_orderstatus", T.StringType())]))
@@ -317,8 +318,8 @@ def replay_at_each_version(spark, d):
 def log_actions_by_kind(spark, d):
     t = _new(spark)
     for i in range(3):
-        t = t.write(_line(spark, d, i).coalesce(1))
-    log = t.delete("l_returnflag = 'N'").write(_line(spark, d).coalesce(1), mode="overwrite").log
+        t = t.write(_line(spark, d, i), one_file=True)
+    log = t.delete("l_returnflag = 'N'").write(_line(spark, d), mode="overwrite", one_file=True).log
     kinds = [log.of_kind(k).select("version", F.lit(k).alias("kind")) for k in ("add", "remove", "metaData", "protocol", "commitInfo")]
     return reduce(DataFrame.union, kinds).groupBy("version", "kind").agg(F.count("*").alias("n"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import schema as S
 from ..plans.scan import hive_values
 from ..sources.storage import Location
+from .joined import join_files
 
 #: footers of more files than this are read by the executors
 DRIVER_FOOTERS = 32
@@ -98,8 +99,24 @@ def add_action(path: str, values: dict, size: int, modified: int, stats: str, da
     return {"add": {"path": path, "partitionValues": values, "size": size, "modificationTime": modified, "dataChange": data_change, "stats": stats}}
 
 
-def write_files(df: DataFrame, root: Location, version: int, partition_by, options: dict | None = None) -> list[dict]:
-    """Writes ``df`` below ``root`` and returns the files' add actions; existing data is never touched."""
+def _one_a_folder(spark: SparkSession, staging: Location, files: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The same rows in one file a folder."""
+    folders: dict[str, list] = {}
+    for f in files:
+        folders.setdefault(f[0].rsplit("/", 1)[0], []).append(f)
+    made = {own[0][0] for own in folders.values() if len(own) == 1}
+    for folder, own in folders.items():
+        if len(own) > 1:
+            join_files(spark, own, to := Location(spark, folder).child(f"joined-{uuid.uuid4().hex}.parquet"))
+            made.add(to.url)
+    return [f for f in staging.files(recursive=True) if f[0] in made]
+
+
+def write_files(df: DataFrame, root: Location, version: int, partition_by, options: dict | None = None, one_file: bool = False) -> list[dict]:
+    """Writes ``df`` below ``root`` and returns the files' add actions; existing data is never touched.
+
+    ``one_file``: one file a partition, which as many tasks write as without it.
+    """
     spark = df.sparkSession
     parts = list(partition_by)
     staging = root.child(f"_staging-{uuid.uuid4().hex}")
@@ -110,7 +127,10 @@ def write_files(df: DataFrame, root: Location, version: int, partition_by, optio
     (writer.partitionBy(*parts) if parts else writer).parquet(staging.url)
     token, moved = uuid.uuid4().hex, []
     try:
-        for i, (url, size, modified) in enumerate(f for f in staging.files(recursive=True) if f[0].endswith(".parquet") and not f[0].rsplit("/", 1)[1].startswith(".")):
+        found = [f for f in staging.files(recursive=True) if f[0].endswith(".parquet") and not f[0].rsplit("/", 1)[1].startswith(".")]
+        if one_file:
+            found = _one_a_folder(spark, staging, found)
+        for i, (url, size, modified) in enumerate(found):
             below = url[len(staging.url) + 1:]
             values = dict(hive_values(below))
             relative = "/".join([*below.split("/")[:-1], f"{version}-{token}-{i}.parquet"])

@@ -128,9 +128,10 @@ class LakeTable:
 
     # -- writing
 
-    def write(self, data, mode="append", schema_mode: str = "strict", partition_by=None, options: dict | None = None, custom_metadata: dict | None = None) -> "LakeTable":
+    def write(self, data, mode="append", schema_mode: str = "strict", partition_by=None, options: dict | None = None, custom_metadata: dict | None = None, one_file: bool = False) -> "LakeTable":
         """Commits ``data`` (anything that ``intake.union`` takes). ``schema_mode`` merge widens the schema by new columns
-        when appending; an overwrite takes the schema of its data."""
+        when appending; an overwrite takes the schema of its data. ``one_file``: a single data file, or one a partition,
+        joined from what all tasks write."""
         mode = Mode.of(mode)
         if self.exists() and mode is Mode.ignore:
             return self
@@ -138,7 +139,7 @@ class LakeTable:
         df = intake.union(self.spark, data, "merge" if schema_mode == "merge" else "common")
         schema = self._evolved(df.schema, mode, schema_mode)
         self._known(parts, schema)
-        adds = self._write_files(df, parts, options)
+        adds = self._write_files(df, parts, options, **({"one_file": True} if one_file else {}))
         return self._enter(adds, mode, schema, parts, custom_metadata)
 
     def import_files(self, refs, mode="append", schema_mode: str = "strict", partition_by=None, custom_metadata: dict | None = None) -> "LakeTable":
@@ -195,9 +196,9 @@ class LakeTable:
             return self.schema()
         return self.schema() if S.same(self.schema(), new) else new
 
-    def _write_files(self, df: DataFrame, partition_by, options) -> list[dict]:
+    def _write_files(self, df: DataFrame, partition_by, options, one_file: bool = False) -> list[dict]:
         """Override point: where and how data files are written."""
-        return write_files(df, self.root, self._next(), partition_by, options)
+        return write_files(df, self.root, self._next(), partition_by, options, one_file)
 
     def _next(self) -> int:
         return self.version() + 1 if self.exists() else 0
